@@ -71,6 +71,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("proprietary", ("rights-reserved",)),
 ]
 
+# Every known sentence holds one of these within a word, so texts without any have no licence sentence.
+ANCHORS = ("licen", "copyright", "permission", "redistribut", "warrant", "rights")
+
 #: What ends a sentence.
 ENDS = r"\n|[.!?;:]+(?:[ \t\r]+|$|\n)"
 #: What a normalised sentence does not keep.
@@ -93,18 +96,29 @@ def sentence_id(sentence: Column, sentences: dict[str, str]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
-    """One row per document: doc_id, n_sentences, sentence_ids (joined by '|', in text order), licenses (joined by
-    '|', in rule order) and n_licenses."""
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
+    """One row per document: doc_id, n_sentences (licence sentences), sentence_ids (joined by '|', in text order),
+    licenses (joined by '|', in rule order) and n_licenses.
+
+    A byte search for the anchors comes first; it only skips texts that cannot hold a known sentence.
+    """
+    if missing := [k for k in sentences.values() if not any(a in k for a in anchors)]:
+        raise ValueError(f"sentences without an anchor: {missing}")
     text = text_of(docs)
-    ids = F.filter(F.transform(F.filter(normal_sentences(text), lambda s: F.length(s) >= min(map(len, sentences.values()))), lambda s: sentence_id(s, sentences)), lambda x: x.isNotNull())
+    folded = F.lower(text)
+    possible = F.contains(folded, F.lit(anchors[0]))
+    for a in anchors[1:]:
+        possible = possible | F.contains(folded, F.lit(a))
+    long = F.filter(normal_sentences(text), lambda s: F.length(s) >= min(map(len, sentences.values())))
+    ids = F.filter(F.transform(long, lambda s: sentence_id(s, sentences)), lambda x: x.isNotNull())
     path = F.col("sentence_ids")
     # in order, gaps allowed: every identifier is followed by the next, whole between bars
     found = [F.when(F.concat(F.lit("|"), path, F.lit("|")).rlike("\\|" + "\\|(?:.*\\|)?".join(rule) + "\\|"), F.lit(name)) for name, rule in rules]
     licenses = F.when(path == "", F.lit("")).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*found))), "|"))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.size(F.filter(F.split(text, ENDS), lambda s: F.trim(s) != "")).cast("long").alias("n_sentences"), F.array_join(ids, "|").alias("sentence_ids"))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.when(possible, F.array_join(ids, "|")).otherwise("").alias("sentence_ids"))
     rows = rows.withColumn("licenses", licenses)
-    return rows.withColumn("n_licenses", F.when(F.col("licenses") == "", 0).otherwise(F.size(F.split("licenses", "\\|"))).cast("long"))
+    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "\\|"))).cast("long")
+    return rows.select("doc_id", count("sentence_ids").alias("n_sentences"), "sentence_ids", "licenses", count("licenses").alias("n_licenses"))
 
 
 def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
@@ -117,8 +131,7 @@ def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tup
 WITH cut AS (
   SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ENDS}') AS parts FROM documents
 ), ids AS (
-  SELECT doc_id, len(list_filter(parts, lambda s: trim(s) <> '')) AS n_sentences,
-    coalesce(array_to_string(list_filter(list_transform(list_filter(list_transform(parts, lambda s: trim(regexp_replace(s, '{OTHER}', ' ', 'g'), ' .' || chr(10))), lambda s: length(s) >= {least}),
+  SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(list_filter(list_transform(parts, lambda s: trim(regexp_replace(s, '{OTHER}', ' ', 'g'), ' .' || chr(10))), lambda s: length(s) >= {least}),
       lambda s: CASE {case} END), lambda x: x IS NOT NULL), '|'), '') AS sentence_ids
   FROM cut
 ), found AS (
@@ -126,4 +139,4 @@ WITH cut AS (
 ), named AS (
   SELECT *, list_filter({order}, lambda n: list_contains(hit, n)) AS names FROM found
 )
-SELECT doc_id, n_sentences::BIGINT AS n_sentences, sentence_ids, coalesce(array_to_string(names, '|'), '') AS licenses, len(names)::BIGINT AS n_licenses FROM named"""
+SELECT doc_id, CASE WHEN sentence_ids = '' THEN 0 ELSE len(string_split(sentence_ids, '|')) END::BIGINT AS n_sentences, sentence_ids, coalesce(array_to_string(names, '|'), '') AS licenses, len(names)::BIGINT AS n_licenses FROM named"""
