@@ -18,7 +18,7 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text, in order."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return let(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE, let, text_of, words
+from marlstone.llm.common import let, text_of, words
 
 #: Hash buckets of n-grams; trusted documents used at most; millionths of a nat per n-gram that a document needs.
 BUCKETS, SAMPLE, THRESHOLD = 1 << 14, 20_000, -50_000
@@ -56,6 +56,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
     return [round(UNIT * (math.log((good.get(b, 0) + 1) / n_good) - math.log((raw.get(b, 0) + 1) / n_raw))) for b in range(buckets)]
 
 
+#: Low bits of a window's key that hold its position: enough for any string Spark can hold.
+PLACE = 30
+
+
 def repeated_words(ws: Column) -> Column:
     """How many words lie in a 3-word window that the text has twice or more.
 
@@ -63,24 +67,19 @@ def repeated_words(ws: Column) -> Column:
     with a neighbour's are compared again as whole strings, so that the count is exact.
     """
 
-    def covered(w: Column) -> Column:
-        n = F.size(w)
-        low = F.greatest(F.lit(20), F.ceil(F.log2(n)).cast("int"))
-
-        def top(key: Column) -> Column:
-            return F.call_function("shiftright", key, low)
-
-        windows = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c")), 1, n - 2)
-        keys = F.sort_array(F.transform(windows, lambda z, i: F.call_function("shiftleft", F.xxhash64(z), low).bitwiseOR(i.cast("long"))))
+    def keys(h: Column) -> Column:
+        return F.sort_array(F.transform(F.slice(h, 3, F.size(h)), lambda c, i: F.shiftleft(F.xxhash64(F.get(h, i), F.get(h, i + 1), c), PLACE).bitwiseOR(i.cast("long"))))
 
-        def suspects(k: Column) -> Column:
-            near = F.filter(k, lambda x, i: (top(x) == top(F.get(k, i + 1))) | (top(x) == top(F.get(k, i - 1))))
-            return F.transform(near, lambda x: (x - F.call_function("shiftleft", top(x), low)).cast("int"))
+    def suspects(k: Column) -> Column:
+        near = F.filter(k, lambda x, i: (F.shiftright(F.get(k, i + 1).bitwiseXOR(x), PLACE) == 0) | (F.shiftright(F.get(k, i - 1).bitwiseXOR(x), PLACE) == 0))
+        return F.transform(near, lambda x: x.bitwiseAND((1 << PLACE) - 1).cast("int"))
 
-        def twice(s: Column) -> Column:
-            return F.filter(s, lambda x, i: (x["s"] == F.get(s, i + 1)["s"]) | (x["s"] == F.get(s, i - 1)["s"]))
+    def twice(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (x["s"] == F.get(s, i + 1)["s"]) | (x["s"] == F.get(s, i - 1)["s"]))
 
-        named = F.array_sort(F.transform(let(keys, suspects), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("s"), i.alias("i"))))
+    def covered(w: Column) -> Column:
+        found = let(let(F.transform(w, lambda x: F.xxhash64(x)), keys), suspects)
+        named = F.array_sort(F.transform(found, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("s"), i.alias("i"))))
         return F.size(F.array_distinct(F.flatten(F.transform(let(named, twice), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     return let(ws, lambda w: F.when(F.size(w) > 3, covered(w)).otherwise(0)).cast("long")
@@ -95,8 +94,8 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "ws",
         F.size("ws").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)).alias("word_chars"),
+        sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit(c), F.lit(""))) for c in SYMBOLS), F.lit(0)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("ws")).alias("n_repeat_words"),
     )

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, licenses, mixing, quality_rules, simhash, syncmers, warc
+from marlstone.llm import bpe, hmm, licenses, mixing, quality_pu, quality_rules, simhash, syncmers, toxicity, warc
 from marlstone.llm.common import documents, labels
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digest(documents(spark, sf_dir))
 
 
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -24,6 +32,10 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compared(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -36,6 +48,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_warc, op5_simhash, op6_syncmers, op8_licenses, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_hmm, op2_bpe, op3_quality_pu, op4_warc, op5_simhash, op6_syncmers, op7_toxicity, op8_licenses, op9_quality_rules, op10_mixing)}
 
 ORACLE_SQL = {"op8_licenses": licenses.oracle_sql()}

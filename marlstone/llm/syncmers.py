@@ -25,22 +25,38 @@ BUCKET_IDS = 256
 
 def substring_hashes(ws: Column, s: int) -> Column:
     """Hashes of the s-word substrings, in order."""
-    one = F.transform(ws, lambda w: F.xxhash64(w))
-    if s == 1:
-        return one
-    return let(one, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - s + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, s))))
+    out = F.transform(ws, lambda w: F.xxhash64(w))
+    for _ in range(s - 1):
+        out = let(out, lambda h: F.transform(F.slice(h, 2, F.size(h)), lambda b, i: F.xxhash64(F.get(h, i), b)))
+    return out
+
+
+def sliding_min(h: Column, width: int) -> Column:
+    """Smallest of each `width` neighbours, by doubling."""
+    out, have = h, 1
+    while have < width:
+        step = min(have, width - have)
+        out = let(out, lambda m: F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - step, F.lit(0))), F.slice(m, step + 1, F.size(m)), lambda a, b: F.least(a, b)))
+        have += step
+    return out
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<position, hash>>: word position (from 0) and hash of every chosen window."""
     width = k - s + 1
+    inner = sorted({*range(0, width, s), width - 1})  # substrings that cover the window
 
     def chosen(h: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, width)).isin(F.get(h, i - 1), F.get(h, i + width - 2)) | (F.size(h) < width))
-        return F.transform(at, lambda i: F.struct((i - 1).alias("position"), F.xxhash64(F.slice(h, i, width)).alias("hash")))
+        def pick(m: Column, i: Column) -> Column:
+            edge = (m == F.get(h, i)) | (m == F.get(h, i + (width - 1)))
+            return F.when(edge, F.struct(i.alias("position"), F.xxhash64(*[F.get(h, i + j) if j else F.get(h, i) for j in inner]).alias("hash")))
+
+        return F.array_compact(F.transform(sliding_min(h, width), pick))
+
+    def short(w: Column) -> Column:
+        return F.when(F.size(w) == 0, F.array().cast("array<struct<position:int,hash:bigint>>")).otherwise(F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(w).alias("hash"))))
 
-    nothing = F.array().cast("array<struct<position:int,hash:bigint>>")
-    return let(words(text), lambda w: F.when(F.size(w) == 0, nothing).otherwise(let(substring_hashes(w, s), chosen)))
+    return let(words(text), lambda w: F.when(F.size(w) < k, short(w)).otherwise(let(substring_hashes(w, s), chosen)))
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
