@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import let, text_of, words
 
 #: Hash buckets of n-grams; trusted documents used at most; millionths of a nat per n-gram that a document needs.
-BUCKETS, SAMPLE, THRESHOLD = 1 << 14, 20_000, -50_000
+BUCKETS, SAMPLE, THRESHOLD = 1 << 14, 20_000, -90_000
 SYMBOLS = "#*$%&|<>"
 UNIT = 1_000_000
 
