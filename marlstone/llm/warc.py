@@ -174,7 +174,10 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, sha1: st
 def train_dictionary(pages: DataFrame) -> bytes:
     """From a bounded sample: the SAMPLE_PAGES short pages of lowest hash. Empty if there are too few."""
     html = pages["html"].cast("string")
-    rows = pages.where(F.length(html).between(1, SAMPLE_CHARS)).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
+    short = pages.where(F.length(html).between(1, SAMPLE_CHARS)).select(html.alias("html"), F.xxhash64(html).alias("h"))
+    # tasks send hashes, not pages: at most SAMPLE_PAGES of them are chosen, and then their pages fetched, one each
+    chosen = short.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES)
+    rows = short.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html")).sort("h").collect()
     if len(rows) < 20:
         return b""
     try:
