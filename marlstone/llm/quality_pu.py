@@ -131,10 +131,10 @@ def statistics(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], names=["chosen", "kind", "x"])
+            x = [features(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["chosen", "kind", "x"])
 
-    return source.mapInArrow(run, "chosen long, kind int, x array<double>")
+    return source.mapInArrow(run, "chosen long, kind int, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -147,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     unlabelled = ids.orderBy(F.xxhash64("chosen"), "chosen").limit(UNLABELLED)
     parts = [chosen_ids(labels, "quality", 1, POSITIVES, FOLDS, HELD_OUT), chosen_ids(labels, "quality", 0, NEGATIVES, FOLDS, HELD_OUT), unlabelled.distinct()]
     chosen = parts[0].withColumn("kind", F.lit(1)).unionAll(parts[1].withColumn("kind", F.lit(0))).unionAll(parts[2].withColumn("kind", F.lit(2)))
-    rows = sorted(statistics(docs, chosen).collect(), key=lambda r: (r["kind"], r["chosen"], r["x"]))
-    x = {k: np.array([r["x"] for r in rows if r["kind"] == k]).reshape(-1, FEATURES) for k in (0, 1, 2)}
+    rows = sorted((r["kind"], r["chosen"], bytes(r["x"])) for r in statistics(docs, chosen).collect())
+    x = {k: np.frombuffer(b"".join(b for kind, _, b in rows if kind == k)).reshape(-1, FEATURES) for k in (0, 1, 2)}
     if not len(x[1]) or not len(x[2]):
         return Model(*(np.zeros(0),) * 3, 1.0, 0.0, prior, False)
     return train(x[1], x[0], x[2], prior)

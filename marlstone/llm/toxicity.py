@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fold
+from marlstone.session import cut
 
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 4000, 6000, 10_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -36,8 +37,9 @@ WINDOW = 1
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
 #: Largest cost told apart with the ordinary and with the toxic dictionary; ridge of the calibration.
 ORDINARY_COST, TOXIC_COST, RIDGE = 12, 8, 3.0
-#: Lengths in bytes of the strings that mark a window for the toxic dictionary, and the share of toxic texts that must hold one.
-PARTS, LEAST_SHARE = (5, 7, 9), 0.03
+#: Lengths in bytes of the beginnings that mark a window for the toxic dictionary, the share of toxic texts that must
+#: hold one, and about how many ordinary texts train the ordinary dictionary.
+PARTS, LEAST_SHARE, DICTIONARY_TEXTS = (5, 6, 7, 8, 9, 10, 12), 0.03, 2000
 #: Windows whose cell a worker remembers.
 CACHE = 400_000
 OUTER = bytes(c for c in range(33, 127) if not (48 <= c < 58 or 97 <= c < 123))
@@ -109,31 +111,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 40) -> np
     return w
 
 
-def grams(window: bytes) -> set[bytes]:
-    """The strings of a window between blanks, of each length in PARTS."""
+def prefixes(window: bytes) -> set[bytes]:
+    """The beginnings of a window between blanks, of each length in PARTS."""
     w = b" " + window + b" "
-    return {w[i : i + n] for n in PARTS for i in range(len(w) - n + 1)}
+    return {w[:n] for n in PARTS if n <= len(w)}
 
 
-def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """Dictionaries and calibration from labelled texts.
-
-    The ordinary dictionary is trained on ordinary texts; the toxic one on those windows of toxic texts that hold a
-    string which no ordinary text has and several toxic texts share, so that its few kilobytes hold what sets toxic
-    text apart.
-    """
-    if not toxic or not ordinary:
-        return Model(prior=share)
-    seen, bad = [windows(t) for t in ordinary], [windows(t) for t in toxic]
-    usual = set().union(*map(grams, {w for ws in seen for w in ws}))
-    known = {w: grams(w) - usual for w in {w for ws in bad for w in ws}}
-    spread = Counter(g for ws in bad for g in set().union(*(known[w] for w in ws)))
-    least = max(2, math.ceil(LEAST_SHARE * len(toxic)))
-    marks = {w for w, gs in known.items() if any(spread[g] >= least for g in gs)}
-    marked = [b" " + b" ".join(w for w in ws if w in marks) + b" " for ws in bad]
-    model = Model(_dictionary([m for m in marked if len(m) > 2], TOXIC_BYTES), _dictionary([b" " + b" ".join(ws)[:8000] + b" " for ws in seen], ORDINARY_BYTES), np.zeros(1), share).start()
-    x = np.array([model.features(t) for t in toxic + ordinary])
-    return Model(model.toxic, model.ordinary, logistic(x, np.repeat([1.0, 0.0], [len(toxic), len(ordinary)]), RIDGE), share)
+def train(marked: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """Both dictionaries, not yet calibrated."""
+    return Model(_dictionary([m for m in marked if len(m) > 2], TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), np.zeros(1), share)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -149,15 +135,61 @@ def chosen_ids(labels: DataFrame, column: str, value: int, rows: int, folds: int
     return ids.select(F.col("doc_id").cast("long").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(rows)
 
 
+def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, toxic, ordinary): texts of either kind that hold it, added up within the worker."""
+    seen = (Counter(), Counter())
+
+    def out():
+        both = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([seen[k][x] for x in both], pa.int64()) for k in (1, 0))], names=["prefix", "toxic", "ordinary"])
+
+    for batch in batches:
+        for kind, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen[kind].update(set().union(*map(prefixes, set(windows(text.as_py())))))
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield out()
+                seen = (Counter(), Counter())
+    yield out()
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
+    """Dictionaries and calibration from the labelled sample, which stays with the workers.
+
+    The ordinary dictionary is trained on ordinary texts; the toxic one on those windows of toxic texts that begin with
+    a string that starts no window of an ordinary text and is shared by LEAST_SHARE of the toxic ones, so that its few
+    kilobytes hold what sets toxic text apart. Only marks, marked windows, DICTIONARY_TEXTS of the ordinary texts and
+    cell counts come to the driver.
+    """
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     kinds = chosen_ids(labels, "toxic", 1, TOXIC_ROWS, folds, held_out).withColumn("kind", F.lit(1)).unionByName(chosen_ids(labels, "toxic", 0, ORDINARY_ROWS, folds, held_out).withColumn("kind", F.lit(0)))
     text = docs["text"].cast("string")
     # the ids are at most TOXIC_ROWS + ORDINARY_ROWS, so the texts stay where they are
-    rows = docs.join(F.broadcast(kinds), docs["doc_id"] == kinds["chosen"]).where(F.length(text) <= SAMPLE_CHARS).select("kind", text.alias("text"), F.col("chosen")).collect()
-    rows = sorted({(r["chosen"], r["kind"], r["text"]) for r in rows})
-    return train([t for _, k, t in rows if k == 1][:TOXIC_ROWS], [t for _, k, t in rows if k == 0][:ORDINARY_ROWS], share)
+    sample = cut(docs.join(F.broadcast(kinds), docs["doc_id"] == kinds["chosen"]).where(F.length(text) <= SAMPLE_CHARS).select("kind", text.alias("text"), "chosen"))
+    n = dict(sample.groupBy("kind").count().collect())
+    if not n.get(1) or not n.get(0):
+        return Model(prior=share)
+    counts = sample.select("kind", "text").mapInArrow(_prefix_counts, "prefix binary, toxic long, ordinary long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    marks = {bytes(r[0]) for r in counts.where((F.col("ordinary") == 0) & (F.col("toxic") >= max(2, math.ceil(LEAST_SHARE * n[1])))).select("prefix").collect()}
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [b" ".join(w for w in windows(t) if prefixes(w) & marks) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["chosen", "windows"])
+
+    bad = sample.where("kind = 1").select("chosen", "text").mapInArrow(marked, "chosen long, windows binary").collect()
+    some = sample.where("kind = 0").select("chosen", "text").where(F.pmod(F.xxhash64("chosen"), F.lit(max(1, n[0] // DICTIONARY_TEXTS))) == 0).collect()
+    model = train([b" " + bytes(w) + b" " for _, w in sorted((r[0], bytes(r[1])) for r in bad)], [b" " + b" ".join(windows(t))[:8000] + b" " for _, t in sorted((r[0], r[1]) for r in some)], share)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = started(model)
+        for batch in batches:
+            x = [scorer.features(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["kind", "chosen", "x"])
+
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample.select("kind", "chosen", "text").mapInArrow(counted, "kind int, chosen long, x binary").collect())
+    x = np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
+    return Model(model.toxic, model.ordinary, logistic(x, np.array([float(r[0]) for r in rows]), RIDGE), share)
 
 
 _started: dict[str, Model] = {}
