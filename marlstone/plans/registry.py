@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from marlstone.plans import aggregates, extraction, graph, joins, records, revisions, scalars, scans, search, windows  # noqa: F401
+from marlstone.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "search_exact"
