@@ -127,6 +127,7 @@ def train(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray, pr
 
 def statistics(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(kind, x) of the chosen documents; chosen is small and bounded, so the texts stay where they are."""
+    docs = docs.select("doc_id", "text")
     source = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"]).select("chosen", "kind", docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ from marlstone.llm.common import let, text_of, words
 
 #: Hash buckets of n-grams; trusted documents used at most; millionths of a nat per n-gram that a document needs.
 BUCKETS, SAMPLE, THRESHOLD = 1 << 14, 20_000, -90_000
+#: N-grams that the raw distribution counts for in the trusted one.
+DRAW = 4096
 SYMBOLS = "#*$%&|<>"
 UNIT = 1_000_000
 
@@ -50,10 +52,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
     trusted = docs.join(chosen, docs["doc_id"] == chosen["trusted_id"], "left_semi")
     raw = dict(bucket_counts(docs, buckets).collect())
     good = dict(bucket_counts(trusted, buckets).collect())
-    n_raw, n_good = sum(raw.values()) + buckets, sum(good.values()) + buckets
     if not good:
         return [0] * buckets
-    return [round(UNIT * (math.log((good.get(b, 0) + 1) / n_good) - math.log((raw.get(b, 0) + 1) / n_raw))) for b in range(buckets)]
+    n_raw, n_good = sum(raw.values()) + buckets, sum(good.values())
+    share = [(raw.get(b, 0) + 1) / n_raw for b in range(buckets)]
+    # the trusted share is drawn towards the raw one, so that what a small sample lacks speaks against a text mildly
+    return [round(UNIT * math.log((good.get(b, 0) + DRAW * share[b]) / (n_good + DRAW) / share[b])) for b in range(buckets)]
 
 
 #: Low bits of a window's key that hold its position: enough for any string Spark can hold.

@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     kinds = chosen_ids(labels, "toxic", 1, TOXIC_ROWS, folds, held_out).withColumn("kind", F.lit(1)).unionByName(chosen_ids(labels, "toxic", 0, ORDINARY_ROWS, folds, held_out).withColumn("kind", F.lit(0)))
+    docs = docs.select("doc_id", "text")
     text = docs["text"].cast("string")
     # the ids are at most TOXIC_ROWS + ORDINARY_ROWS, so the texts stay where they are
     sample = cut(docs.join(F.broadcast(kinds), docs["doc_id"] == kinds["chosen"]).where(F.length(text) <= SAMPLE_CHARS).select("kind", text.alias("text"), "chosen"))
