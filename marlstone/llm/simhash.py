@@ -82,7 +82,9 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), blocks: int =
     firsts = cut(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col("row.doc_id").cast("long")).alias("first")))
     found = components(links(firsts.select("fp"), blocks, distance))
     members = firsts.join(found, firsts["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = members.withColumn("component_id", F.min("first").over(Window.partitionBy("component"))).select("fp", "component_id")
+    # the least id is summed up before rows move, so that a component with a large part of all fingerprints fills no task
+    least = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = members.join(least, "component").select("fp", "component_id")
     return marked.join(ids, marked["fingerprint"] == ids["fp"], "left").select("row", "fingerprint", "component_id")
 
 
