@@ -8,9 +8,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "marlstone", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(app: str = "marlstone", master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with UTC time and adaptive execution; cluster settings win where they are given."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
