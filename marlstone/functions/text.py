@@ -47,6 +47,19 @@ def minified(text: Column) -> Column:
     return (n >= 3000) & (n / (breaks + 1) > 300)
 
 
+def wildcard(pattern: str) -> str:
+    """A regular expression for a whole text, with * for any text and ? for one character."""
+    parts = {"*": ".*", "?": "."}
+    return "^" + "".join(parts.get(c) or (c if c.isalnum() or c == " " else "\\" + c) for c in pattern) + "$"
+
+
+def decoded(raw: Column) -> Column:
+    """Text of bytes by their mark: UTF-16 of either order, UTF-8 with or without a mark; null if the bytes are not UTF-8."""
+    rest = lambda n: F.substring(raw, n + 1, (1 << 31) - 1)
+    starts = lambda mark: F.startswith(F.hex(F.substring(raw, 1, 3)), F.lit(mark))
+    return F.when(starts("FFFE"), F.decode(rest(2), "UTF-16LE")).when(starts("FEFF"), F.decode(rest(2), "UTF-16BE")).when(starts("EFBBBF"), F.try_validate_utf8(rest(3).cast("string"))).otherwise(F.try_validate_utf8(raw.cast("string")))
+
+
 def redacted(text: Column) -> Column:
     for _, pattern, word in SECRETS:
         text = F.regexp_replace(text, pattern, word.replace("$", "\\$"))

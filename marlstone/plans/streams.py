@@ -42,13 +42,15 @@ def stream_pending(spark, sf_dir):
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Hourly counts of each type over event time."""
-    return E.tumbling(read_stream(spark, sf_dir, "events"), "1 hour", "1 day", new_folder(spark, "windows"), "event_type")
+    e = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = E.tumbling(e, "1 hour", "1 day", new_folder(spark, "windows"), "event_type")
+    return hours.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf_dir):
     """Each event id once within the watermark."""
-    e = read_stream(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    e = read_stream(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return E.first_seen(e, "event_id", "1 day", new_folder(spark, "dedup")).select("event_id", "user_id")
 
 
