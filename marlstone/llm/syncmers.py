@@ -2,8 +2,8 @@
 
 A k-word window is chosen if the smallest hash of its (k - s + 1) inner s-word substrings stands at either edge; the
 choice depends on the window alone, so equal passages give equal anchors wherever they stand. The fingerprint of a text
-is the SKETCH smallest distinct anchor hashes (all of them in most texts), as hexadecimal digits; the likeness of two
-fingerprints is the Dice share estimated from the smallest hashes of their union.
+is all its anchors in text order, 24 hexadecimal digits each: 16 of the hash and 8 of the word position. The likeness of
+two texts is the Dice share of all their distinct anchor hashes, counted and not estimated.
 
 Defined cases: null text is empty; texts with fewer than k words have one anchor, the hash of all their words; texts
 without words have none, and their fingerprint is the empty string; two empty fingerprints have likeness 1; equal texts
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import BROADCAST_ROWS, let, text_of, words
 from marlstone.session import cut
 
-K, S, SKETCH = 5, 2, 128
+K, S = 5, 2
 #: Ids that share a bucket, and so a task's window, when texts are dealt out by id.
 BUCKET_IDS = 256
 
@@ -59,26 +59,27 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(words(text), lambda w: F.when(F.size(w) < k, short(w)).otherwise(let(substring_hashes(w, s), chosen)))
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The smallest distinct anchor hashes, sorted."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text, k, s), lambda a: a["hash"]))), 1, size)
+def marks(text: Column, k: int = K, s: int = S) -> Column:
+    """struct<anchors, hashes>: all anchors in text order, and their distinct hashes."""
+    return let(anchors(text, k, s), lambda a: F.struct(a.alias("anchors"), F.array_distinct(F.transform(a, lambda x: x["hash"])).alias("hashes")))
 
 
-def fingerprint(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def fingerprint(found: Column) -> Column:
+    """Hash and position of every anchor, as hexadecimal digits."""
+    digits = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
+    return F.array_join(F.transform(found, lambda a: F.concat(digits(a["hash"], 16), digits(a["position"], 8))), "")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated share of anchors in common, 2 |A and B| / (|A| + |B|), from two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    jaccard = let(F.struct(union.alias("u"), F.array_intersect(a, b).alias("c")), lambda x: F.size(F.array_intersect(x["u"], x["c"])) / F.size(x["u"]))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(jaccard, lambda j: 2 * j / (1 + j)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of distinct hashes in common, 2 |A and B| / (|A| + |B|)."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
 def fingerprints(docs: DataFrame, **how) -> DataFrame:
     """doc_id, anchors and fingerprint of each text."""
     text = text_of(docs)
-    return docs.select("doc_id", anchors(text).alias("anchors"), fingerprint(sketch(text, **how)).alias("fingerprint"))
+    found = docs.select("doc_id", anchors(text, **how).alias("anchors"))
+    return found.select("doc_id", "anchors", fingerprint(F.col("anchors")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, value) -> DataFrame:
@@ -126,6 +127,7 @@ def edited(text: Column, after: Column) -> Column:
 
 def compared(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
-    rows = with_next(docs, lambda text: sketch(text, **how)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", sketch(F.col("edited"), **how).alias("other"), "next_own")
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    rows = with_next(docs, lambda text: marks(text, **how)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", marks(F.col("edited"), **how).alias("other"), "next_own")
+    own, other, after = F.col("own.hashes"), F.col("other.hashes"), F.col("next_own.hashes")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.anchors")).alias("fingerprint"), fingerprint(F.col("other.anchors")).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))

@@ -51,6 +51,20 @@ def test_anchors_are_free_of_context(table):
     assert 0.25 * (40 - k) < len(a) < 0.85 * (40 - k) and w == 4
 
 
+def test_every_anchor_counts(table):
+    base = [f"w{i}" for i in range(1500)]
+    docs = table([(i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :]), "en", "s", 0) for i in range(300, 1500, 100)])
+    found = {r.doc_id: r for r in syncmers.fingerprints(docs).collect()}
+    hashes = {d: {a.hash for a in r.anchors} for d, r in found.items()}
+    rows = {r.doc_id: r for r in syncmers.compared(docs).collect()}
+    ids = sorted(rows)
+    assert min(map(len, hashes.values())) > 400 and len({r.fingerprint for r in rows.values()}) == len(ids)
+    for d, after in zip(ids, ids[1:] + ids[:1]):
+        assert rows[d].fingerprint == "".join(f"{a.hash & (1 << 64) - 1:016x}{a.position:08x}" for a in found[d].anchors)
+        a, b = hashes[d], hashes[after]
+        assert rows[d].near_next == 2 * len(a & b) / (len(a) + len(b)) < 1
+
+
 def brute_repeats(ws):
     c = Counter(zip(ws, ws[1:], ws[2:]))
     return len({i + d for i in range(len(ws) - 2) if c[tuple(ws[i : i + 3])] > 1 for d in (0, 1, 2)})
