@@ -1,14 +1,16 @@
 """License scans: sentences to licence-sentence identifiers, then identifier sequences against ordered rules.
 
-A text is cut into sentences at line ends and at . ! ? ; : before white space or the end. A sentence is normalised:
-A-Z lowered, every run of characters other than a-z, 0-9, '.', '-' and '+' made one blank, blanks and outer dots
-trimmed. A normalised sentence that ends with a known licence sentence on a word boundary carries its identifier; the
-longest known sentence wins. A rule is an ordered list of identifiers, and a document holds the rule if the
+A text is cut into sentences at blank lines and at . ! ? before white space or the end, and a sentence into pieces at
+line ends and at ; : before white space or the end. A piece is normalised: A-Z lowered, every run of characters other
+than a-z, 0-9, '.', '-' and '+' made one blank, blanks, outer dots and comment signs before the first word trimmed. A
+piece carries a known licence sentence's identifier if the pieces of its sentence, joined up to its end, end with the
+known sentence on a word boundary; the longest known sentence wins. So wrapped lines and inner colons lose nothing. A rule is an ordered list of identifiers, and a document holds the rule if the
 identifiers follow one another in this order, other licence sentences between them allowed. Built-in expressions on
 one row only; nothing is shuffled.
 
 Defined cases: null and empty texts have no licence; repeated sentences count once per rule; a licence named by
-several rules is listed once, in the order of RULES; extra columns of the input are not looked at.
+several rules is listed once, in the order of RULES; extra columns of the input are not looked at. The SQL looks at each
+piece on its own: it gives the same rows where no known sentence runs over the end of a piece.
 """
 
 from __future__ import annotations
@@ -74,7 +76,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 # Every known sentence holds one of these within a word, so texts without any have no licence sentence.
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "warrant", "rights")
 
-#: What ends a sentence.
+#: What ends a sentence: a line end before a line without letters or digits, or . ! ?
+HARD_ENDS = r"\n[^\p{L}\p{N}\n]*(?=\n)|(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?:[ \t\r]+|$|\n)"
+#: What ends a piece within a sentence.
+SOFT_ENDS = r"\n|(?<![;:])[;:]++(?:[ \t\r]+|$|\n)"
+#: What ends a piece, sentence or not.
 ENDS = r"\n|[.!?;:]+(?:[ \t\r]+|$|\n)"
 #: What a normalised sentence does not keep.
 OTHER = r"[^a-z0-9.+\n-]+"
@@ -84,8 +90,22 @@ def ordered_sentences(sentences: dict[str, str]) -> list[tuple[str, str]]:
     return sorted(sentences.items(), key=lambda kv: (-len(kv[1]), kv[0]))
 
 
-def normal_sentences(text: Column) -> Column:
-    return F.transform(F.split(ascii_lower(text), ENDS), lambda s: F.trim(F.regexp_replace(s, OTHER, " "), F.lit(" .\n")))
+def pieces(sentence: Column) -> Column:
+    """The normalised pieces of a sentence that hold words."""
+    normal = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " "), F.lit(" .\n")), "^(?:[-+.]+ )+", "")
+    return F.filter(F.transform(F.split(sentence, SOFT_ENDS), normal), lambda s: s != "")
+
+
+def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
+    """Identifier, or null, of every piece of a text, in order."""
+    ends = sorted({k.split(" ")[-1] for k in sentences.values()})
+    most = max(len(k.split(" ")) for k in sentences.values())  # a piece has a word at least, so no known sentence has more pieces
+
+    def ids(p: Column) -> Column:
+        joined = lambda i: F.array_join(F.slice(p, F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, F.lit(most))), " ")
+        return F.transform(p, lambda s, i: F.when(F.substring_index(s, " ", -1).isin(ends), let(joined(i), lambda j: sentence_id(j, sentences))))
+
+    return F.flatten(F.transform(F.split(ascii_lower(text), HARD_ENDS), lambda s: let(pieces(s), ids)))
 
 
 def sentence_id(sentence: Column, sentences: dict[str, str]) -> Column:
@@ -109,8 +129,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     possible = F.contains(folded, F.lit(anchors[0]))
     for a in anchors[1:]:
         possible = possible | F.contains(folded, F.lit(a))
-    long = F.filter(normal_sentences(text), lambda s: F.length(s) >= min(map(len, sentences.values())))
-    ids = F.filter(F.transform(long, lambda s: sentence_id(s, sentences)), lambda x: x.isNotNull())
+    ids = F.array_compact(sentence_ids(text, sentences))
     path = F.col("sentence_ids")
     # in order, gaps allowed: every identifier is followed by the next, whole between bars
     found = [F.when(F.concat(F.lit("|"), path, F.lit("|")).rlike("\\|" + "\\|(?:.*\\|)?".join(rule) + "\\|"), F.lit(name)) for name, rule in rules]

@@ -116,6 +116,64 @@ def test_licences(table, odd, clashing, empty):
     assert out.count() == odd.count() and no_python(out)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_wrapped_licences(table):
+    texts = {}
+    for name, text in (("apache-2.0", APACHE), ("mit", MIT), ("gpl-3.0", GPL), ("bsd-2-clause", BSD)):
+        for start, lead, end in (("", "", ""), ("/*\n", " * ", "\n */\nint x;"), ("", "# ", "\nx = 1"), ("", "-- ", ""), ("", "// ", "\r\n")):
+            texts[start + "\n".join(lead + x for x in text.split("\n")) + end] = name
+        texts[text.replace("\n", "\r\n")] = name
+    texts |= {"// SPDX-License-Identifier: MIT\nint x;": "mit", "# SPDX-License-Identifier: Apache-2.0": "apache-2.0", "/* SPDX-License-Identifier: GPL-3.0-only */": "gpl-3.0"}
+    texts |= {"It is released under\nthe MIT\nLicense": "mit", "Released under. The MIT License": "", "SPDX-License-Identifier:\n\nMIT": "", "released under the MIT " + "\n" * 80 + "license": ""}
+    docs = table([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+
+
 def test_licences_like_sql(spark, sf):
     import duckdb
 
