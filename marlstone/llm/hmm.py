@@ -8,7 +8,8 @@ where P(symbols) comes from the scaled forward recursion over STATES latent stat
 training tokens, C and V the tokens and distinct words of its symbol, and one unseen word shares what is left; it is 1
 for a word that is its own symbol.
 
-Training: word counts over all training texts; a warm start of Baum-Welch on at most WARM_DOCS texts; then PASSES
+Training: word counts over all training texts; a warm start of Baum-Welch on at most WARM_DOCS texts of any
+length, of which the words within the first WARM_CHARS characters count; then PASSES
 passes over all training texts, whose expected counts are added up across partitions. Only symbol tables (a fixed
 number of rows) come to the driver. Workers hold at most HEAD words with their counts; every other word's count is
 joined to its texts by word, where no word can be frequent.
@@ -250,20 +251,21 @@ def expected_counts(texts: DataFrame, symbols, model) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy("kind", "at").agg(*[F.sum(f"x{s}").alias(f"x{s}") for s in range(k)])
 
 
-def baum_welch(texts: DataFrame, warm: list[str | None], symbols: Symbols, shared) -> Model:
+def baum_welch(texts: DataFrame, warm: list[list[bytes]], symbols: Symbols, shared) -> Model:
     sc = texts.sparkSession.sparkContext
     model = first_model(symbols.shares, STATES)
-    pieces = [p for t in warm for p in pieces_of(symbols.read(tokens(t))[0])]
-    if not pieces:
-        return model
+    pieces = [p for ws in warm if ws for p in pieces_of(symbols.read(ws)[0])]
     groups = list(grouped(pieces))
-    for _ in range(WARM_ROUNDS):
+    for _ in range(WARM_ROUNDS if groups else 0):
         parts = [expected(model, g) for g in groups]
         model = improved(*(sum(p[i] for p in parts) for i in range(3)), symbols.shares)
     for _ in range(PASSES):
         held = sc.broadcast(model)
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(symbols.shares), STATES))
-        for r in expected_counts(texts, shared, held).collect():  # a row for each symbol and state
+        rows = expected_counts(texts, shared, held).collect()  # a row for each symbol and state
+        if not rows:  # no training texts
+            return model
+        for r in rows:
             (start[None], move, emit)[r["kind"]][r["at"]] = [r[f"x{s}"] for s in range(STATES)]
         model = improved(start, move, emit, symbols.shares)
     return model
@@ -330,9 +332,10 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Data
     counts = cut(count_tokens(texts))
     symbols, n, v, head_bin = fit_symbols(counts)
     shared = sc.broadcast(symbols)  # at most HEAD words and OWN + CLASSES symbols
-    short = training.where(F.coalesce(F.length("text"), F.lit(0)) <= WARM_CHARS)
-    picked = short.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(WARM_DOCS)
-    warm = [r[0] for r in short.join(F.broadcast(picked.distinct()), F.xxhash64("doc_id", "text") == picked["h"]).select("text", "h").limit(2 * WARM_DOCS).sort("h").collect()]
+    picked = training.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(WARM_DOCS)
+    begun = training.join(F.broadcast(picked.distinct()), F.xxhash64("doc_id", "text") == picked["h"]).select(F.substring(training["text"].cast("string"), 1, WARM_CHARS).alias("text"), (F.length("text") > WARM_CHARS).alias("more"), "h")
+    # where a text goes on, its last word may be cut and its end is not there
+    warm = [tokens(t)[:-2] if more else tokens(t) for t, more, _ in begun.limit(2 * WARM_DOCS).sort("h").collect()]
     model = sc.broadcast(baum_welch(texts, warm, symbols, shared))
     scored = cut(head_scores(docs, shared, model))
     tail = scored.where("tail <> ''").select("row_id", F.explode(F.split("tail", " ")).alias("word"))

@@ -22,6 +22,25 @@ def test_forward_is_exact():
         assert g == pytest.approx(math.log10(total))
 
 
+def test_long_texts_train_the_model(table, monkeypatch):
+    long = [(i, " ".join(f"{'ab'[(i + j // 40) % 2]}{j * j % 17}" for j in range(8000)), "en", "s", 0) for i in range(14)]
+    assert min(len(r[1]) for r in long) > hmm.WARM_CHARS
+    calls, train = [], hmm.baum_welch
+
+    def watched(texts, warm, symbols, shared):
+        cold = train(texts, [], symbols, shared)
+        calls.append((warm, symbols, cold, train(texts, warm, symbols, shared)))
+        return calls[-1][-1]
+
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    assert hmm.score(table(long)).count() == len(long)
+    ((warm, symbols, cold, model),) = calls
+    assert len(warm) > 8 and all(ws and hmm.END not in ws and set(ws) <= set(hmm.tokens(long[0][1] + " " + long[1][1])) for ws in warm)
+    seqs = [symbols.read(hmm.tokens(r[1]))[0] for r in long]
+    first, once, whole = (hmm.log_likelihoods(m, seqs).sum() for m in (hmm.first_model(symbols.shares, hmm.STATES), cold, model))
+    assert first < once < whole
+
+
 def test_expected_counts_are_posteriors():
     rng = np.random.default_rng(2)
     m = hmm.first_model(np.full(4, 0.25), 2)
