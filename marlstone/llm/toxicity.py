@@ -1,13 +1,21 @@
 """Toxicity by compression distance: one zstd dictionary of toxic text, one of ordinary text.
 
-A window is `WINDOW` words, lower-cased and stripped of outer punctuation, set into a fixed carrier that both
-dictionaries hold; so a window's own cost shows even where it is a few bytes long, which a frame of its own would store
-raw. Literals are left uncoded, so the cost is what the dictionary could not supply. Each window falls into a cell
-(bytes with the ordinary dictionary, bytes with the toxic one); a document is its cell counts, and thresholds on them
-are calibrated by logistic regression on labelled rows.
+A window is a word, lower-cased and stripped of outer punctuation, set into a fixed carrier that both dictionaries hold;
+so a window's own cost shows even where it is a few bytes long, which a frame of its own would store raw. Literals are
+left uncoded, so the cost is what the dictionary could not supply. What the toxic dictionary saves against the ordinary
+one, and what is left to pay with it, is summed up over all windows: how many save j bytes or more, and how many of these
+pay i bytes or less. The thresholds on these counts are calibrated by logistic regression on labelled rows.
+
+The ordinary dictionary is trained by the library's cover method on whole ordinary texts. The toxic one is trained by
+cover too, but by contrast: a string of GRAM bytes counts by how much more often toxic texts hold it than their share of
+all texts says (signed root deviance of the binomial), if that exceeds BOUND * sqrt(2 ln of all strings), which chance
+alone hardly reaches; windows of toxic texts are then taken greedily, best gain first, until TOXIC_BYTES are full. Plain
+cover on whole toxic texts fills the dictionary with what all texts share: see the README for figures, also of windows
+of several words.
 
 Fitting takes a bounded sample: at most TOXIC_ROWS toxic and ORDINARY_ROWS ordinary labelled documents (lowest hashes of
-doc_id) of at most SAMPLE_CHARS characters, outside the held-out fold. Scoring is map-only over whole texts.
+doc_id) of at most SAMPLE_CHARS characters, outside the held-out fold; the first DICTIONARY_ROWS ordinary ones train the
+ordinary dictionary. Scoring is map-only over whole texts.
 
 Defined cases: null and empty texts have no window and get the score of an empty document; without labelled rows of both
 kinds every score is the share of toxic labels, or 0; repeated rows score alike; extra columns are not looked at.
@@ -16,11 +24,13 @@ kinds every score is the share of toxic labels, or 0; repeated rows score alike;
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +41,54 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fold
 from marlstone.session import cut
 
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 4000, 6000, 10_000
+TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_ROWS, SAMPLE_CHARS = 4000, 6000, 2000, 10_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-WINDOW = 1
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
-#: Largest cost told apart with the ordinary and with the toxic dictionary; ridge of the calibration.
-ORDINARY_COST, TOXIC_COST, RIDGE = 12, 8, 3.0
-#: Lengths in bytes of the beginnings that mark a window for the toxic dictionary, the share of toxic texts that must
-#: hold one, and about how many ordinary texts train the ordinary dictionary.
-PARTS, LEAST_SHARE, DICTIONARY_TEXTS = (5, 6, 7, 8, 9, 10, 12), 0.03, 2000
-#: Windows whose cell a worker remembers.
+#: Bytes of a string of the contrast, and what its root deviance must reach as a multiple of sqrt(2 ln of all strings).
+GRAM, BOUND = 5, 1.1
+#: Largest saving told apart, bounds of what is left to pay, and ridge of the calibration.
+SAVED, PAID, RIDGE = 8, (0, 1, 2, 4), 0.3
+#: Windows whose costs a worker remembers.
 CACHE = 400_000
 OUTER = bytes(c for c in range(33, 127) if not (48 <= c < 58 or 97 <= c < 123))
 CARRIER = (hashlib.sha256(b"carrier").hexdigest() + hashlib.sha256(b"carrier again").hexdigest()).encode()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    ws = [w.strip(OUTER) for w in (text or "").encode().lower().split()]
-    return ws if size == 1 else [b" ".join(ws[i : i + size]) for i in range(0, len(ws), size)]
+def windows(text: str | None) -> list[bytes]:
+    return [w.strip(OUTER) for w in (text or "").encode().lower().split()]
+
+
+def grams(window: bytes) -> set[bytes]:
+    """The strings of GRAM bytes within a window between blanks."""
+    w = b" " + window + b" "
+    return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}
+
+
+def sums() -> np.ndarray:
+    """Which cells (saving, class of what is paid) each statistic adds up."""
+    cells = [(s, p) for s in range(SAVED + 1) for p in range(len(PAID) + 1)]
+    rules = [(j, len(PAID)) for j in range(1, SAVED + 1)] + [(j, i) for i in range(len(PAID)) for j in range(1, SAVED - 1)]
+    return np.array([[s >= j and p <= i for j, i in rules] for s, p in cells], float)
+
+
+SUMS = sums()
+
+
+class Cells(dict):
+    """Cell of each window, computed when it is first met; the older half goes when CACHE are held."""
+
+    def __init__(self, codecs: list, base: int):
+        self.codecs, self.base = codecs, base
+
+    def __missing__(self, window: bytes) -> int:
+        data = CARRIER + b" " + window + b" " + CARRIER[:40]
+        ordinary, toxic = (len(c.compress(data)) - self.base for c in self.codecs)
+        out = min(max(ordinary - toxic, 0), SAVED) * (len(PAID) + 1) + sum(toxic > p for p in PAID)
+        if len(self) >= CACHE:
+            for old in list(islice(self, CACHE // 2)):
+                del self[old]
+        self[window] = out
+        return out
 
 
 @dataclass
@@ -66,30 +106,18 @@ class Model:
         parameters = zstandard.ZstdCompressionParameters(
             window_log=18, hash_log=17, chain_log=6, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0
         )
-        self.codecs = []
+        codecs = []
         for data in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(data + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=parameters)
-            self.codecs.append(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters))
-        self.base = min(len(c.compress(CARRIER + b"  " + CARRIER[:40])) for c in self.codecs)
-        self.cells: dict[bytes, int] = {}
+            codecs.append(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters))
+        self.cells = Cells(codecs, min(len(c.compress(CARRIER + b"  " + CARRIER[:40])) for c in codecs))
         return self
 
-    def cell(self, window: bytes) -> int:
-        out = self.cells.get(window)
-        if out is None:
-            data = CARRIER + b" " + window + b" " + CARRIER[:40]
-            a, b = (len(c.compress(data)) - self.base for c in self.codecs)
-            out = min(max(a, 0), ORDINARY_COST - 1) * TOXIC_COST + min(max(b, 0), TOXIC_COST - 1)
-            if len(self.cells) >= CACHE:
-                self.cells.clear()
-            self.cells[window] = out
-        return out
-
     def features(self, text: str | None) -> np.ndarray:
         ws = windows(text)
-        counts = np.bincount(np.fromiter(map(self.cell, ws), np.int64, len(ws)), minlength=ORDINARY_COST * TOXIC_COST)
-        return np.concatenate([[1.0], np.log1p(counts), [math.log1p(len(ws))]])
+        counts = np.bincount(np.fromiter(map(self.cells.__getitem__, ws), np.int64, len(ws)), minlength=len(SUMS))
+        return np.concatenate([[1.0, math.log1p(len(ws))], np.log1p(counts @ SUMS)])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.weights):
@@ -111,54 +139,75 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 40) -> np
     return w
 
 
-def prefixes(window: bytes) -> set[bytes]:
-    """The beginnings of a window between blanks, of each length in PARTS."""
-    w = b" " + window + b" "
-    return {w[:n] for n in PARTS if n <= len(w)}
-
-
-def train(marked: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """Both dictionaries, not yet calibrated."""
-    return Model(_dictionary([m for m in marked if len(m) > 2], TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), np.zeros(1), share)
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little to choose from: all of it is the dictionary
+    except zstandard.ZstdError:  # too little to choose from: the last of it is the dictionary
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def covered(candidates: list[bytes], worth: dict[bytes, float], size: int) -> bytes:
+    """Windows by what their strings are worth, each string once, until size bytes are full; the best stand last, where
+    offsets are short."""
+    left = dict(worth)
+    gain = lambda w: sum(left.get(g, 0.0) for g in sorted(grams(w)))
+    heap = [(-gain(w), w) for w in candidates]
+    heapq.heapify(heap)
+    out, used = [], 0
+    while heap and used < size:
+        said, w = heapq.heappop(heap)
+        now = -gain(w)
+        if now >= 0:
+            continue
+        if now > said + 1e-9:  # another window has taken some of it
+            heapq.heappush(heap, (now, w))
+            continue
+        out.append(w)
+        used += len(w) + 1
+        for g in grams(w):
+            left.pop(g, None)
+    return b" " + b" ".join(reversed(out)) + b" "
+
+
 def chosen_ids(labels: DataFrame, column: str, value: int, rows: int, folds: int, held_out: int) -> DataFrame:
     """At most `rows` labelled ids outside the held-out fold, by lowest hash."""
     ids = labels.where((F.col(column) == value) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     return ids.select(F.col("doc_id").cast("long").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(rows)
 
 
-def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, toxic, ordinary): texts of either kind that hold it, added up within the worker."""
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, toxic, ordinary): texts of either kind that hold it, added up within the worker."""
     seen = (Counter(), Counter())
 
     def out():
         both = list(seen[0].keys() | seen[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([seen[k][x] for x in both], pa.int64()) for k in (1, 0))], names=["prefix", "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([seen[k][x] for x in both], pa.int64()) for k in (1, 0))], names=["gram", "toxic", "ordinary"])
 
     for batch in batches:
         for kind, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen[kind].update(set().union(*map(prefixes, set(windows(text.as_py())))))
+            seen[kind].update(set().union(*map(grams, set(windows(text.as_py())))))
             if len(seen[0]) + len(seen[1]) > 200_000:
                 yield out()
                 seen = (Counter(), Counter())
     yield out()
 
 
+def contrast(sample: DataFrame, toxic_share: float) -> dict[bytes, float]:
+    """Root deviance of every string that toxic texts hold more often than chance would have it."""
+    counts = cut(sample.select("kind", "text").mapInArrow(_gram_counts, "gram binary, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    n = F.col("toxic") + F.col("ordinary")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * share))).otherwise(0.0)
+    worth = F.sqrt(2 * F.greatest(part("toxic", toxic_share) + part("ordinary", 1 - toxic_share), F.lit(0.0)))
+    bound = BOUND * math.sqrt(2 * math.log(max(counts.count(), 2)))
+    rows = counts.where(F.col("toxic") > n * toxic_share).select("gram", worth.alias("worth")).where(F.col("worth") >= bound).collect()
+    return {bytes(g): w for g, w in rows}
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """Dictionaries and calibration from the labelled sample, which stays with the workers.
 
-    The ordinary dictionary is trained on ordinary texts; the toxic one on those windows of toxic texts that begin with
-    a string that starts no window of an ordinary text and is shared by LEAST_SHARE of the toxic ones, so that its few
-    kilobytes hold what sets toxic text apart. Only marks, marked windows, DICTIONARY_TEXTS of the ordinary texts and
-    cell counts come to the driver.
+    Strings above the bound, the windows of toxic texts that hold one, DICTIONARY_ROWS ordinary texts and the statistics
+    of the sample's rows come to the driver; all are bounded by the sample.
     """
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -170,17 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     n = dict(sample.groupBy("kind").count().collect())
     if not n.get(1) or not n.get(0):
         return Model(prior=share)
-    counts = sample.select("kind", "text").mapInArrow(_prefix_counts, "prefix binary, toxic long, ordinary long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    marks = {bytes(r[0]) for r in counts.where((F.col("ordinary") == 0) & (F.col("toxic") >= max(2, math.ceil(LEAST_SHARE * n[1])))).select("prefix").collect()}
+    worth = contrast(sample, n[1] / (n[0] + n[1]))
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [b" ".join(w for w in windows(t) if prefixes(w) & marks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["chosen", "windows"])
+            found = {w for t in batch.column(0) for w in windows(t.as_py()) if not grams(w).isdisjoint(worth)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["window"])
 
-    bad = sample.where("kind = 1").select("chosen", "text").mapInArrow(marked, "chosen long, windows binary").collect()
-    some = sample.where("kind = 0").select("chosen", "text").where(F.pmod(F.xxhash64("chosen"), F.lit(max(1, n[0] // DICTIONARY_TEXTS))) == 0).collect()
-    model = train([b" " + bytes(w) + b" " for _, w in sorted((r[0], bytes(r[1])) for r in bad)], [b" " + b" ".join(windows(t))[:8000] + b" " for _, t in sorted((r[0], r[1]) for r in some)], share)
+    marked = sample.where("kind = 1").select("text").mapInArrow(candidates, "window binary").distinct().collect() if worth else []
+    some = sample.where("kind = 0").select("chosen", "text").orderBy(F.xxhash64("chosen"), "chosen", "text").limit(DICTIONARY_ROWS).collect()
+    model = Model(covered(sorted(bytes(r[0]) for r in marked), worth, TOXIC_BYTES), trained([b" " + b" ".join(windows(t)) + b" " for _, t in some], ORDINARY_BYTES), np.zeros(1), share)
+    del some
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = started(model)

@@ -122,6 +122,22 @@ def test_toxicity(table, marks):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_toxicity_held_out(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in toxicity.classify(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    toxic, clean = ([r.predicted for r in rows if truth[r.doc_id] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_dictionary_by_contrast():
+    worth = {b" bad ": 3.0, b"grum ": 2.0, b" grum": 2.5}
+    out = toxicity.covered([b"bad", b"grum", b"grumgrum", b"fine"], worth, 100)
+    assert out == b" bad grum "
+    assert toxicity.covered([b"bad", b"grum"], worth, 3) == b" grum "
+
+
 def test_quality_held_out(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     truth = {r.doc_id: r.quality for r in labels.collect()}
