@@ -28,13 +28,10 @@ def test_long_words_and_special_tokens(text):
     assert list(VOCAB.encode(text)) == real(text)[0]
 
 
-def test_tree_names_the_leftmost_lowest():
-    tree = bpe.PairTree([5, 3, 3, 9])
-    assert tree.root() == 1
-    tree.set(1, bpe.NONE)
-    assert tree.root() == 2
-    tree.set(2, 7)
-    assert tree.root() == 0
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcdelnorstué", min_size=1, max_size=70), min_size=1, max_size=20))
+def test_trees_side_by_side_merge_like_one(words):
+    assert VOCAB.word_ids(words) == [VOCAB.merge(VOCAB.start_ids(w)) for w in words] == [real(w)[0] for w in words]
 
 
 def test_odd_rows(odd, clashing, empty):
