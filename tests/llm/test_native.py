@@ -100,17 +100,18 @@ def test_junk_scores_below_trusted(table, marks):
 
 
 def test_licences(table, odd, clashing, empty):
-    mit = ". ".join(s.capitalize() for k, s in licenses.SENTENCES.items() if k in ("mit-grant", "mit-notice", "as-is-software"))
-    swapped = ". ".join(licenses.SENTENCES[k] for k in ("mit-notice", "mit-grant", "as-is-software"))
+    mit = ". ".join(licenses.PUBLISHED[k] for k in ("mit-grant", "mit-notice", "as-is-software"))
+    swapped = ". ".join(licenses.PUBLISHED[k] for k in ("mit-notice", "mit-grant", "as-is-software"))
     docs = table([
         (1, "Some words.\nReleased under the MIT License.", "en", "s", 0),
         (2, mit + ".", "en", "s", 0),
         (3, swapped, "en", "s", 0),
         (4, "LICENSED under the Apache License, Version 2.0.\nAll rights reserved. More: licensed under CC BY-NC 4.0!", "en", "s", 0),
         (5, "I lost my licence and all rights were reserved", "en", "s", 0),
+        (6, "Licensed under the MIT License, see LICENSE file.", "en", "s", 0),
     ])
     got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.scan(docs).collect()}
-    assert got == {1: ("mit", 1), 2: ("mit", 3), 3: ("", 3), 4: ("apache-2.0|cc-by-nc-4.0|proprietary", 3), 5: ("", 0)}
+    assert got == {1: ("mit", 1), 2: ("mit", 3), 3: ("", 3), 4: ("apache-2.0|proprietary|cc-by-nc-4.0", 3), 5: ("", 0), 6: ("mit", 1)}
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
     out = licenses.scan(clashing)
     assert out.count() == odd.count() and no_python(out)
@@ -161,6 +162,31 @@ modification, are permitted provided that the following conditions are met:
    and/or other materials provided with the distribution."""
 
 
+# What published licences say of themselves, as far as their rules go.
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software."
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_ten_licences_at_any_width(table):
+    import textwrap
+
+    texts = {"isc": ISC, "lgpl-2.1": LGPL, "agpl-3.0": AGPL, "mpl-2.0": MPL, "zlib": ZLIB, "unlicense": UNLICENSE, "bsd-3-clause": BSD + "\n\n" + ENDORSE, "mit": MIT, "gpl-3.0": GPL, "apache-2.0": APACHE}
+    rows = [(name, "\n\n".join(textwrap.fill(p, width, initial_indent=lead, subsequent_indent=lead) for p in text.split("\n\n"))) for name, text in texts.items() for width in (72, 76, 80) for lead in ("", "# ", " * ")]
+    docs = table([(i, t, "en", "s", 0) for i, (_, t) in enumerate(rows)])
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_known_sentences_are_whole():
+    assert all(s and licenses.normal(s) == s for s in licenses.SENTENCES.values())
+    assert {x for _, rule in licenses.RULES for x in rule} <= set(licenses.SENTENCES)
+
+
 def test_wrapped_licences(table):
     texts = {}
     for name, text in (("apache-2.0", APACHE), ("mit", MIT), ("gpl-3.0", GPL), ("bsd-2-clause", BSD)):
