@@ -3,11 +3,14 @@
 A k-word window is chosen if the smallest hash of its (k - s + 1) inner s-word substrings stands at either edge; the
 choice depends on the window alone, so equal passages give equal anchors wherever they stand. The fingerprint of a text
 is all its anchors in text order, 24 hexadecimal digits each: 16 of the hash and 8 of the word position. The likeness of
-two texts is the Dice share of all their distinct anchor hashes, counted and not estimated.
+two texts is the Dice share of all their distinct anchor hashes, counted and not estimated. Positional matching goes
+further: shared anchors are lined up by how far they are apart in the two texts, and `aligned` is the share of those on
+the commonest distance, so that passages in another order count less.
 
 Defined cases: null text is empty; texts with fewer than k words have one anchor, the hash of all their words; texts
 without words have none, and their fingerprint is the empty string; two empty fingerprints have likeness 1; equal texts
-have equal fingerprints. Neighbours go by (doc_id, nulls first; text hash); rows alike in both follow one another.
+have equal fingerprints. Neighbours go by (doc_id, nulls first; text hash); rows alike in both follow one another. Ids are
+taken to be nearly unique: rows of one id are put in order by one task.
 """
 
 from __future__ import annotations
@@ -75,6 +78,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """Share of anchors that match at the commonest distance of positions, each hash once: 2 m / (|A| + |B|)."""
+
+    def side(found: Column, k: int, sign: int) -> Column:
+        return F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), (sign * x["position"]).alias("place")))
+
+    def distances(both: Column) -> Column:
+        # sorted by hash, side and place, which is negative in a: the first of a hash in a and its first in b are neighbours
+        def apart(y: Column, i: Column) -> Column:
+            x = F.get(both, i)
+            return F.when((x["hash"] == y["hash"]) & (x["side"] < y["side"]), -x["place"] - y["place"])
+
+        return F.array_sort(F.array_compact(F.transform(F.slice(both, 2, F.size(both)), apart)))
+
+    def longest(d: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+        def step(acc: Column, x: Column) -> Column:
+            run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+            return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+        return F.aggregate(d, start, step, lambda acc: acc["best"])
+
+    n = F.size(a["hashes"]) + F.size(b["hashes"])
+    return F.when(n == 0, 1.0).otherwise(2 * longest(let(F.sort_array(F.concat(side(a["anchors"], 0, -1), side(b["anchors"], 1, 1))), distances)) / n)
+
+
 def fingerprints(docs: DataFrame, **how) -> DataFrame:
     """doc_id, anchors and fingerprint of each text."""
     text = text_of(docs)
@@ -89,13 +119,14 @@ def with_next(docs: DataFrame, value) -> DataFrame:
     Texts are dealt out once, by id bucket; each bucket's first document is also sent to the bucket before it, which
     holds about one text in BUCKET_IDS a second time.
     """
-    bucket = F.floor(F.col("doc_id") / BUCKET_IDS).cast("long")
+    # rows without an id go by hash, in up to 4096 buckets before all others
+    bucket = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.floor(F.col("doc_id") / BUCKET_IDS), F.shiftright("tie", 52)).cast("long").alias("n"))
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")).withColumn("bucket", bucket)
-    # the buckets in order, null first, each with the one before it
+    # the buckets in order, each with the one before it
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     n_parts = max(1, rows.rdd.getNumPartitions() // 4)
-    ordered = cut(firsts.repartitionByRange(n_parts, F.col("bucket").asc_nulls_first()).sortWithinPartitions(F.col("bucket").asc_nulls_first()).withColumn("at", F.monotonically_increasing_id()))
+    ordered = cut(firsts.repartitionByRange(n_parts, "bucket").sortWithinPartitions("bucket").withColumn("at", F.monotonically_increasing_id()))
     counts = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a row per partition
     total = sum(n for _, n in counts)
     start, starts = 0, {}
@@ -126,8 +157,9 @@ def edited(text: Column, after: Column) -> Column:
 
 
 def compared(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, aligned_edited and
+    aligned_next."""
     rows = with_next(docs, lambda text: marks(text, **how)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", marks(F.col("edited"), **how).alias("other"), "next_own")
     own, other, after = F.col("own.hashes"), F.col("other.hashes"), F.col("next_own.hashes")
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.anchors")).alias("fingerprint"), fingerprint(F.col("other.anchors")).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.anchors")).alias("fingerprint"), fingerprint(F.col("other.anchors")).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"), aligned(F.col("own"), F.col("other")).alias("aligned_edited"), aligned(F.col("own"), F.col("next_own")).alias("aligned_next"))

@@ -65,6 +65,26 @@ def test_every_anchor_counts(table):
         assert rows[d].near_next == 2 * len(a & b) / (len(a) + len(b)) < 1
 
 
+def test_positional_matching(table):
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    docs = table([(1, f"{a} {b}", "en", "s", 0), (2, f"{b} {a}", "en", "s", 0), (3, f"x y z {b} {a}", "en", "s", 0), (4, "again " * 500, "en", "s", 0), (5, "again " * 500, "en", "s", 0)])
+    rows = {r.doc_id: r for r in syncmers.compared(docs).collect()}
+    found = {r.doc_id: {h.hash: h.position for h in reversed(r.anchors)} for r in syncmers.fingerprints(docs).collect()}
+    for d, after in ((1, 2), (2, 3), (3, 4), (4, 5), (5, 1)):
+        x, y = found[d], found[after]
+        apart = Counter(x[h] - y[h] for h in x.keys() & y.keys())
+        assert rows[d].aligned_next == 2 * max(apart.values(), default=0) / (len(x) + len(y)) <= rows[d].near_next
+    assert rows[1].near_next > 0.95 and rows[1].aligned_next < 0.6 and rows[2].aligned_next > 0.95 and rows[4].aligned_next == 1.0
+
+
+def test_rows_without_ids_are_dealt_out(table):
+    docs = table([(None, f"text {i}", "en", "s", 0) for i in range(300)] + [(i, f"own {i}", "en", "s", 0) for i in range(5)])
+    got = {r.text: r.next_text for r in syncmers.with_next(docs, lambda t: F.array(F.length(t))).collect()}
+    tie = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted((t for t in tie if t[0] == "t"), key=tie.get) + [f"own {i}" for i in range(5)]
+    assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
+
+
 def brute_repeats(ws):
     c = Counter(zip(ws, ws[1:], ws[2:]))
     return len({i + d for i in range(len(ws) - 2) if c[tuple(ws[i : i + 3])] > 1 for d in (0, 1, 2)})
