@@ -1,13 +1,17 @@
 """Quality rules: heuristics, then a hashed n-gram log-likelihood ratio between trusted and raw text.
 
-Two multinomials over BUCKETS hash buckets of words and word pairs are counted: one over a bounded sample of trusted
-documents (labels.quality = 1, the `sample` lowest hashes of doc_id), one over every document. A document's score is
-the mean over its n-grams of log(p_trusted / p_raw), in whole millionths of a nat so that sums do not depend on their
-order; documents at or above `threshold` pass. Everything is built-in expressions over one row: nothing is shuffled but
-the counts, and the model is a fixed-size array literal.
+Two multinomials over BUCKETS hash buckets of words and word pairs are counted in one pass: one over the trusted documents
+(labels.quality = 1) outside the calibration fold, one over every document. A document's score is the mean over its
+n-grams of log(p_trusted / p_raw), in whole millionths of a nat so that sums do not depend on their order; documents at
+or above the threshold pass. The threshold follows from the scores of the trusted documents in the calibration fold (one
+in FOLDS by crc32 of the id) that pass the base rules: MARGIN times as far below their median as their lowest
+LOW-quantile, taken from an exact histogram of the scores; with fewer than LEAST such documents it is taken from all
+trusted ones. Everything is built-in expressions over one row: nothing is shuffled but the counts and, where there are
+more than BROADCAST_ROWS trusted ids, the join that marks them; the model is a fixed-size array literal.
 
 Defined cases: null and empty texts have no words, fail the base rules and score 0; without trusted rows every ratio is
-0; ties are equal scores and so equal verdicts; extra columns of the input are not looked at.
+0 and every document that passes the base rules is kept; ties are equal scores and so equal verdicts; extra columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import let, text_of, words
+from marlstone.llm.common import fold, let, small, text_of, words
 
-#: Hash buckets of n-grams; trusted documents used at most; millionths of a nat per n-gram that a document needs.
-BUCKETS, SAMPLE, THRESHOLD = 1 << 14, 20_000, -90_000
+#: Hash buckets of n-grams.
+BUCKETS = 1 << 14
+#: One trusted document in FOLDS sets the threshold; how many there must be; the quantile, the margin, and the width of
+#: the histogram's bins in millionths of a nat.
+FOLDS, LEAST, LOW, MARGIN, BIN = 5, 20, 0.01, 2.0, 500
 #: N-grams that the raw distribution counts for in the trusted one.
 DRAW = 4096
 SYMBOLS = "#*$%&|<>"
@@ -37,29 +44,50 @@ def ngram_buckets(ws: Column, buckets: int) -> Column:
     return let(F.transform(ws, lambda w: F.xxhash64(w)), of)
 
 
-def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    return docs.select(F.explode(ngram_buckets(words(text_of(docs)), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
-def trusted_ids(labels: DataFrame, sample: int) -> DataFrame:
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, trusted (null, or whether the row is in the calibration fold)."""
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(sample)
+    ids = small(ids.withColumn("trusted", fold(F.col("trusted_id"), FOLDS) == 0), ids.count())
+    return docs.select("doc_id", text_of(docs).alias("text")).join(ids, F.col("doc_id") == ids["trusted_id"], "left").drop("trusted_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE) -> list[int]:
+def fit(marked: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Millionths of a nat for each bucket; only the bounded table of counts comes to the driver."""
-    chosen = F.broadcast(trusted_ids(labels, sample))  # at most `sample` rows
-    trusted = docs.join(chosen, docs["doc_id"] == chosen["trusted_id"], "left_semi")
-    raw = dict(bucket_counts(docs, buckets).collect())
-    good = dict(bucket_counts(trusted, buckets).collect())
-    if not good:
-        return [0] * buckets
+    counts = marked.select((~F.coalesce("trusted", F.lit(True))).cast("long").alias("good"), F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
+    raw, good = {r["bucket"]: r["raw"] for r in counts}, {r["bucket"]: r["good"] for r in counts}
     n_raw, n_good = sum(raw.values()) + buckets, sum(good.values())
+    if not n_good:
+        return [0] * buckets
     share = [(raw.get(b, 0) + 1) / n_raw for b in range(buckets)]
     # the trusted share is drawn towards the raw one, so that what a small sample lacks speaks against a text mildly
     return [round(UNIT * math.log((good.get(b, 0) + DRAW * share[b]) / (n_good + DRAW) / share[b])) for b in range(buckets)]
 
 
+def calibrated(marked: DataFrame, weights: list[int]) -> int:
+    """The threshold that the scores of trusted documents set."""
+    scored = measures(marked.where(F.col("trusted").isNotNull()), "trusted").where(~base_failed()).select("trusted", F.floor(score(F.col("ws"), weights) / BIN).alias("bin"))
+    rows = scored.groupBy("trusted", "bin").count().collect()  # at most a row for each bin of the score's range
+    held = [(r["bin"], r["count"]) for r in rows if r["trusted"]]
+    if sum(n for _, n in held) < LEAST:
+        held = [(r["bin"], r["count"]) for r in rows]
+    if not held:
+        return -(1 << 62)
+
+    def quantile(q: float) -> int:
+        left = q * sum(n for _, n in held)
+        for b, n in sorted(held):
+            if (left := left - n) <= 0:
+                return b * BIN
+        return max(held)[0] * BIN
+
+    middle = quantile(0.5)
+    return math.floor(middle - MARGIN * (middle - quantile(LOW)) - BIN)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 #: Low bits of a window's key that hold its position: enough for any string Spark can hold.
 PLACE = 30
 
@@ -89,13 +117,14 @@ def repeated_words(ws: Column) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 3, covered(w)).otherwise(0)).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_words, and the base counts of each document."""
+def measures(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the kept columns, words, and the base counts of each document."""
     text = text_of(docs)
-    base = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), words(text).alias("ws"))
+    base = docs.select(docs["doc_id"].alias("doc_id"), *keep, text.alias("text"), words(text).alias("ws"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return base.select(
         "doc_id",
+        *keep,
         "ws",
         F.size("ws").cast("long").alias("n_words"),
         F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)).alias("word_chars"),
@@ -112,9 +141,11 @@ def score(ws: Column, weights: list[int]) -> Column:
     return F.when(F.size(ws) > 0, F.floor(total / (2 * F.size(ws) - 1))).otherwise(0).cast("long")
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:
-    """One row per document: the base counts, base_failed, score and kept."""
-    weights = fit(docs, labels, **how)
-    rows = measures(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = rows.withColumn("score", score(F.col("ws"), weights))
+def judge(docs: DataFrame, labels: DataFrame, threshold: int | None = None, **how) -> DataFrame:
+    """One row per document: the base counts, base_failed, score and kept; the threshold is calibrated if none is given."""
+    marked = with_trust(docs, labels)
+    weights = fit(marked, **how)
+    if threshold is None:
+        threshold = calibrated(marked, weights)
+    rows = measures(docs).withColumn("base_failed", base_failed()).withColumn("score", score(F.col("ws"), weights))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
