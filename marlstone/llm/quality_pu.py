@@ -2,17 +2,25 @@
 
 A linear model over FEATURES statistics of a text is fitted by minimising the non-negative unbiased risk
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
-with the logistic loss: R_p over trusted positives (labels.quality = 1), R_u over unlabelled documents, prior the
-estimated share of positives. Where the second term is negative its gradient is taken back, as usual. The prior is
-the share among all labelled rows outside the held-out fold. A two-parameter calibration on labelled rows outside the
-fold turns the margin into a score.
+with the logistic loss: R_p over trusted positives (labels.quality = 1 outside the held-out fold), R_u over all documents.
+Where the second term is negative its gradient is taken back, as usual. No labelled negative is used. The loss is that of
+a probability, so the margin's sigmoid is the score.
 
-Bounded samples fit the model: POSITIVES trusted, NEGATIVES labelled 0 (calibration only) and UNLABELLED documents, each
-by lowest hash of doc_id and outside the held-out fold; their statistics are computed where the texts are, and only the
-statistics come to the driver. Scoring is map-only over whole texts.
+Every document counts in R_u, and in the mean and spread of the statistics: each falls into one of 2^BITS cells by the
+signs of BITS fixed projections of its statistics, and the cells' document counts and sums are added up over all
+partitions. R_u is taken at the cells' means, weighted by their counts, which is a bounded summary of any corpus.
+
+The prior is estimated from the same cells: a logistic regression of positives against unlabelled text orders the cells;
+of every leading part that holds LEAST_PART of the positives or more, the share of documents in it over the share of
+positives is an upper bound of the prior, and the least of them is the estimate (each share moved by half a standard error
+of n positives, 1 / (2 sqrt n), as the least of noisy ratios is too low).
+
+At most POSITIVES trusted rows fit the model, by lowest hash of doc_id; their statistics are computed where the texts are,
+and only the statistics come to the driver. Scoring is map-only over whole texts.
 
 Defined cases: null and empty texts have the statistics of an empty text and a score like any other; without trusted
-positives every score is the prior, 0.5 where it is unknown; repeated rows score alike; extra columns are not looked at.
+positives every score is 0.5, or 0 where rows are labelled and none is trusted; repeated rows score alike; extra columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fold
-from marlstone.llm.toxicity import chosen_ids, logistic
+from marlstone.llm.toxicity import chosen_ids
 
-POSITIVES, NEGATIVES, UNLABELLED = 8000, 4000, 20_000
+POSITIVES, BITS, LEAST_PART = 8000, 11, 0.5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-RIDGE, STEPS, RATE = 1e-3, 600, 0.05
+#: Ridge, and what a small number of positives adds to it; steps and rate of the descent.
+RIDGE, PULL, STEPS, RATE = 1e-3, 5.0, 600, 0.05
 
 UPPER, LOWER, DIGIT, HIGH = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58), (128, 256)))
 # Groups of characters whose share of the text is a statistic.
@@ -77,82 +86,134 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
-    slope: float
-    shift: float
     prior: float
     known: bool = True
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.known:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t) for t in texts]).reshape(len(texts), FEATURES)
-        return sigmoid(self.slope * self.margin(x) + self.shift)
+        return sigmoid(self.margin(all_features(texts)))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return scaled(x, self.mean, self.spread) @ self.weights[:-1] + self.weights[-1]
+
+
+def all_features(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts]).reshape(len(texts), FEATURES)
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / spread, -8, 8)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
-    """Weights (last: intercept) that minimise the non-negative risk; Adam with the sign rule for a negative part."""
-    p, u = (np.c_[x, np.ones(len(x))] for x in (positive, unlabelled))
-    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+def minimise(gradient, size: int, ridge: float, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
+    """Weights (last: intercept) by Adam; gradient takes weights, ridge spares the intercept."""
+    w, m, v = np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        # logistic losses: l(+1) = log(1 + e^-z), l(-1) = log(1 + e^z)
-        grad_up = prior * (p.T @ (sigmoid(zp) - 1)) / len(p)
-        grad_down = (u.T @ sigmoid(zu)) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        risk_down = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = (grad_up + grad_down if risk_down >= 0 else -grad_down) + ridge * np.r_[w[:-1], 0]
+        g = gradient(w) + ridge * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def train(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    mean = unlabelled.mean(0)
-    spread = unlabelled.std(0) + 1e-6
-    scale = lambda x: np.clip((x - mean) / spread, -8, 8)
-    model = Model(mean, spread, nn_pu(scale(positive), scale(unlabelled), prior), 1.0, 0.0, prior)
-    if len(negative) >= 5:
-        z = np.r_[model.margin(positive), model.margin(negative)]
-        # the samples' shares are set to the prior by the odds of the draw
-        model.shift, model.slope = logistic(np.c_[np.ones(len(z)), z], np.repeat([1.0, 0.0], [len(positive), len(negative)]), 1.0)
-        model.shift += np.log(prior / (1 - prior)) - np.log(len(positive) / len(negative))
-    return model
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
+    """Weights that minimise the non-negative risk; share is the part of the documents that each unlabelled row is."""
+    p, u = (np.c_[x, np.ones(len(x))] for x in (positive, unlabelled))
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        zp, zu = p @ w, u @ w
+        # logistic losses: l(+1) = log(1 + e^-z), l(-1) = log(1 + e^z)
+        up = prior * (p.T @ (sigmoid(zp) - 1)) / len(p)
+        down = u.T @ (sigmoid(zu) * share) - prior * (p.T @ sigmoid(zp)) / len(p)
+        risk_down = np.logaddexp(0, zu) @ share - prior * np.logaddexp(0, zp).mean()
+        return up + down if risk_down >= 0 else -down
+
+    return minimise(gradient, p.shape[1], RIDGE + PULL / len(p))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, share: np.ndarray, positive_share: np.ndarray) -> float:
+    """Least ratio of documents to positives in leading parts of the cells; positive_share is each cell's part of them."""
+    p, u = (np.c_[x, np.ones(len(x))] for x in (positive, unlabelled))
+    w = minimise(lambda w: p.T @ (sigmoid(p @ w) - 1) / len(p) + u.T @ (sigmoid(u @ w) * share), p.shape[1], RIDGE + PULL / len(p))
+    order = np.argsort(-(u @ w), kind="stable")
+    docs, good = np.cumsum(share[order]), np.cumsum(positive_share[order])
+    enough, slack = good >= LEAST_PART, 0.5 / np.sqrt(len(p))
+    return float(np.clip(((docs[enough] + slack) / (good[enough] - slack)).min(), 0.01, 0.99)) if enough.any() else 0.5
+
+
+@dataclass
+class Cells:
+    """Where a document's statistics fall: signs of fixed projections, around the positives' mean and spread."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def __post_init__(self):
+        self.directions = np.random.default_rng(11).normal(size=(FEATURES, BITS))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (scaled(x, self.mean, self.spread) @ self.directions > 0) @ (1 << np.arange(BITS))
+
+    def sums(self, texts: DataFrame) -> DataFrame:
+        """(cell, n, s0, s1, ...) added up over all texts; cell -1 has the sums of squares."""
+        names = [f"s{i}" for i in range(FEATURES)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, squares = np.zeros(1 << BITS, np.int64), np.zeros((1 << BITS, FEATURES)), np.zeros(FEATURES)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    x = all_features(batch.column(0).slice(at, 1000).to_pylist())
+                    cell = self.of(x)
+                    n += np.bincount(cell, minlength=len(n))
+                    np.add.at(total, cell, x)
+                    squares += (x * x).sum(0)
+            met = np.flatnonzero(n)
+            if len(met):
+                columns = [pa.array(np.r_[-1, met], pa.int32()), pa.array(np.r_[0, n[met]], pa.int64()), *map(pa.array, np.r_[squares[None], total[met]].T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", *names])
+
+        parts = texts.mapInArrow(run, "cell int, n long, " + ", ".join(f"{x} double" for x in names))
+        return parts.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
 
 
-def statistics(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(kind, x) of the chosen documents; chosen is small and bounded, so the texts stay where they are."""
+def statistics(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
+    """Statistics of the chosen documents; chosen is small and bounded, so the texts stay where they are."""
     docs = docs.select("doc_id", "text")
-    source = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"]).select("chosen", "kind", docs["text"].cast("string").alias("text"))
+    source = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"]).select("chosen", docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["chosen", "kind", "x"])
+            x = [features(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["chosen", "x"])
 
-    return source.mapInArrow(run, "chosen long, kind int, x binary")
+    rows = sorted((r[0], bytes(r[1])) for r in source.mapInArrow(run, "chosen long, x binary").collect())
+    return np.frombuffer(b"".join(x for _, x in rows)).reshape(-1, FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     good, n = known.agg(F.sum((F.col("quality") == 1).cast("double")), F.count("*")).first()
+    unknown = Model(*(np.zeros(0),) * 3, 0.0 if n and not good else 0.5, False)
     if not good:
-        return Model(*(np.zeros(0),) * 3, 1.0, 0.0, 0.0 if n else 0.5, False)
-    prior = min(max((good + 1) / (n + 2), 0.01), 0.99)
-    ids = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("chosen"))
-    unlabelled = ids.orderBy(F.xxhash64("chosen"), "chosen").limit(UNLABELLED)
-    parts = [chosen_ids(labels, "quality", 1, POSITIVES, FOLDS, HELD_OUT), chosen_ids(labels, "quality", 0, NEGATIVES, FOLDS, HELD_OUT), unlabelled.distinct()]
-    chosen = parts[0].withColumn("kind", F.lit(1)).unionAll(parts[1].withColumn("kind", F.lit(0))).unionAll(parts[2].withColumn("kind", F.lit(2)))
-    rows = sorted((r["kind"], r["chosen"], bytes(r["x"])) for r in statistics(docs, chosen).collect())
-    x = {k: np.frombuffer(b"".join(b for kind, _, b in rows if kind == k)).reshape(-1, FEATURES) for k in (0, 1, 2)}
-    if not len(x[1]) or not len(x[2]):
-        return Model(*(np.zeros(0),) * 3, 1.0, 0.0, prior, False)
-    return train(x[1], x[0], x[2], prior)
+        return unknown
+    positive = statistics(docs, chosen_ids(labels, "quality", 1, POSITIVES, FOLDS, HELD_OUT))
+    if not len(positive):
+        return unknown
+    cells = Cells(positive.mean(0), positive.std(0) + 1e-3)
+    rows = sorted(cells.sums(docs.select(docs["text"].cast("string").alias("text"))).collect())  # a row for each cell
+    squares, rows = np.array(rows[0][2:]), rows[1:]
+    counts, totals = np.array([r["n"] for r in rows], float), np.array([r[2:] for r in rows])
+    mean = totals.sum(0) / counts.sum()
+    spread = np.sqrt(np.maximum(squares / counts.sum() - mean**2, 0)) + 1e-6
+    x, u = scaled(positive, mean, spread), scaled(totals / counts[:, None], mean, spread)
+    share = counts / counts.sum()
+    met = np.bincount(cells.of(positive), minlength=1 << BITS)[[r["cell"] for r in rows]]
+    prior = estimated_prior(x, u, share, met / len(positive))
+    return Model(mean, spread, nn_pu(x, u, share, prior), prior)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:

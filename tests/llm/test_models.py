@@ -148,11 +148,34 @@ def test_quality_held_out(spark, sf):
 def test_risk_is_non_negative_learning():
     rng = np.random.default_rng(5)
     good, bad = rng.normal(1, 1, (500, 2)), rng.normal(-1.5, 1, (300, 2))
-    w = quality_pu.nn_pu(good[:200], np.r_[good[200:], bad[:200]], 0.6)
+    w = quality_pu.nn_pu(good[:200], np.r_[good[200:], bad[:200]], np.full(500, 1 / 500), 0.6)
     z = lambda x: x @ w[:-1] + w[-1]
     assert (z(good) > 0).mean() > 0.85 and (z(bad) < 0).mean() > 0.85
 
 
+def test_prior_from_unlabelled():
+    rng = np.random.default_rng(6)
+    for prior in (0.3, 0.8):
+        good, mix = rng.normal(1.5, 1, (4000, 2)), np.r_[rng.normal(1.5, 1, (int(4000 * prior), 2)), rng.normal(-1.5, 1, (4000 - int(4000 * prior), 2))]
+        cell = lambda x: np.floor(2 * x[:, 0]).astype(int) * 100 + np.floor(2 * x[:, 1]).astype(int)
+        names, at, n = np.unique(cell(mix), return_inverse=True, return_counts=True)
+        means = np.stack([np.bincount(at, mix[:, k]) for k in (0, 1)], 1) / n[:, None]
+        met = np.array([(cell(good) == c).sum() for c in names])
+        assert abs(quality_pu.estimated_prior(good, means, n / n.sum(), met / len(good)) - prior) < 0.07
+
+
+def test_all_documents_count_in_the_risk(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    x = quality_pu.all_features([r.text for r in texts.collect()])
+    cells = quality_pu.Cells(x.mean(0), x.std(0) + 1e-3)
+    rows = {r["cell"]: r for r in cells.sums(texts).collect()}
+    np.testing.assert_allclose(rows[-1][2:], (x * x).sum(0))
+    at = cells.of(x)
+    assert {c: r["n"] for c, r in rows.items() if c >= 0} == dict(Counter(at.tolist()))
+    for c in set(at.tolist()):
+        np.testing.assert_allclose(rows[c][2:], x[at == c].sum(0))
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_pu])
 def test_classifier_odd_rows(module, odd, clashing, empty, marks):
     for labels in (marks([]), marks([(1, 1, 0), (3, 1, 1), (8, 0, 0), (None, 1, 1), (10, None, None), (99, 1, 1)])):
