@@ -8,11 +8,11 @@ where P(symbols) comes from the scaled forward recursion over STATES latent stat
 training tokens, C and V the tokens and distinct words of its symbol, and one unseen word shares what is left; it is 1
 for a word that is its own symbol.
 
-Training: word counts over all training texts; a warm start of Baum-Welch on at most WARM_DOCS texts of any
-length, of which the words within the first WARM_CHARS characters count; then PASSES
-passes over all training texts, whose expected counts are added up across partitions. Only symbol tables (a fixed
-number of rows) come to the driver. Workers hold at most HEAD words with their counts; every other word's count is
-joined to its texts by word, where no word can be frequent.
+Training: word counts over all training texts; every training text is written once as its symbols, and each round of
+Baum-Welch runs over all of them, with expected counts added up across partitions, from seeded first parameters until the
+mean log10 likelihood of a symbol rises by less than RISE, ROUNDS times at most. Only symbol tables (a fixed number of
+rows) come to the driver. Workers hold at most HEAD words with their counts; every other word's count is joined to its
+texts by word, where no word can be frequent.
 
 Defined cases: null text is empty and has the end token alone; without training texts every count is 0; texts of any
 length are scored exactly (training cuts them into pieces of PIECE tokens); repeated rows score alike; extra columns
@@ -37,10 +37,9 @@ from marlstone.session import cut
 
 FOLDS, HELD_OUT = 7, 2
 STATES, OWN, CLASSES, HEAD = 8, 4096, 2048, 131_072
-WARM_DOCS, WARM_CHARS, WARM_ROUNDS, PASSES = 1000, 20_000, 15, 1
-#: Tokens of a piece in training, tokens handled together (padding included, in training), and weight of the unigram in
-#: an emission row.
-PIECE, TOGETHER, SMOOTH = 512, 150_000, 50.0
+ROUNDS, RISE = 8, 0.01
+#: Tokens of a piece in training, tokens handled together, and weight of the unigram in an emission row.
+PIECE, TOGETHER, SMOOTH = 256, 300_000, 50.0
 #: The end token; no word is empty.
 END = b""
 #: Distinct words a worker gathers before it hands their counts on.
@@ -156,45 +155,45 @@ def fit_symbols(counts: DataFrame) -> tuple[Symbols, int, int, int]:
 
 def first_model(shares: np.ndarray, states: int, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    emit = shares[:, None] * rng.gamma(2.0, 0.5, (len(shares), states))
-    move = np.full((states, states), 0.3 / max(states - 1, 1))
-    np.fill_diagonal(move, 0.7)
+    emit = shares[:, None] * (rng.gamma(0.5, 2.0, (len(shares), states)) + 0.05)
+    move = np.full((states, states), 0.1 / max(states - 1, 1))
+    np.fill_diagonal(move, 0.9)
     even = np.full(states, 1 / states)
     return Model(even, move / move.sum(1, keepdims=True), emit / emit.sum(0), even)
 
 
-def expected(model: Model, pieces: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of pieces (symbols, is a text's first) by forward and backward recursion."""
-    k = len(model.start)
+def expected(model: Model, pieces: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (start, move, emit) of pieces (symbols, is a text's first) by forward and backward recursion, and
+    their log10 likelihood. Pieces go side by side, longest first; rows of one time stand together."""
+    k, single = len(model.start), np.float32
+    emit_of, move, start, stay = (x.astype(single) for x in (model.emit, model.move, model.start, model.stay))
     pieces = sorted(pieces, key=lambda p: -len(p[0]))
-    sizes = np.array([len(p[0]) for p in pieces])
+    sizes, firsts = np.array([len(p[0]) for p in pieces]), np.array([f for _, f in pieces])
     steps, n = int(sizes[0]), len(pieces)
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]
-    seen = np.zeros((steps, n), np.int32)
-    for j, (p, _) in enumerate(pieces):
-        seen[: len(p), j] = p
-    alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
-    now = np.where(np.array([f for _, f in pieces])[:, None], model.start, model.stay)
+    active = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    at = np.concatenate([[0], np.cumsum(active)]).tolist()
+    flat, begin = np.concatenate([p for p, _ in pieces]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    seen = np.concatenate([flat[begin[: active[t]] + t] for t in range(steps)])
+    ahead = emit_of[seen]
+    alpha, scale = np.empty_like(ahead), np.empty(len(seen), single)
+    now = np.where(firsts[:, None], start, stay)
     for t in range(steps):
-        m = active[t]
-        now = (now[:m] if t == 0 else now[:m] @ model.move) * model.emit[seen[t, :m]]
-        total = now.sum(1)
-        now = now / total[:, None]
-        alpha[t, :m], scale[t, :m] = now, total
-    beta = np.ones((n, k))
-    ahead = np.zeros((steps, n, k))  # what state j at t + 1 and all after it add, over the scale
-    gamma = np.zeros((steps, n, k))
+        here = slice(at[t], at[t + 1])
+        prior = now[: active[t]] if t == 0 else now[: active[t]] @ move
+        now = np.multiply(prior, ahead[here], out=alpha[here])
+        scale[here] = now.sum(1)
+        now /= scale[here, None]
+    ahead /= scale[:, None]
+    gamma, beta, back = np.empty_like(alpha), np.ones((n, k), single), np.ascontiguousarray(move.T)
     for t in range(steps - 1, -1, -1):
-        m = active[t]
-        gamma[t, :m] = alpha[t, :m] * beta[:m]
-        ahead[t, :m] = model.emit[seen[t, :m]] * beta[:m] / scale[t, :m, None]
+        here, m = slice(at[t], at[t + 1]), active[t]
+        np.multiply(alpha[here], beta[:m], out=gamma[here])
+        ahead[here] *= beta[:m]  # what a state at t and all after it add, over the scale
         if t:
-            beta[:m] = ahead[t, :m] @ model.move.T
-    move = model.move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
-    firsts = np.array([f for _, f in pieces])
-    flat, weights = seen.reshape(-1), gamma.reshape(-1, k)
-    emit = np.stack([np.bincount(flat, weights[:, s], len(model.emit)) for s in range(k)], 1)
-    return gamma[0][firsts].sum(0), move, emit
+            beta[:m] = ahead[here] @ back
+    moves = sum((alpha[at[t - 1] : at[t - 1] + active[t]].T @ ahead[at[t] : at[t + 1]] for t in range(1, steps)), np.zeros((k, k)))
+    emit = np.stack([np.bincount(seen, gamma[:, s], len(emit_of)) for s in range(k)], 1)
+    return gamma[:n][firsts].sum(0, dtype=np.float64), model.move * moves, emit, float(np.log10(scale, dtype=np.float64).sum())
 
 
 def improved(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Model:
@@ -208,67 +207,83 @@ def pieces_of(symbols: np.ndarray) -> list[tuple[np.ndarray, bool]]:
 
 
 def grouped(pieces: list[tuple[np.ndarray, bool]]) -> Iterator[list[tuple[np.ndarray, bool]]]:
-    """Pieces by length, in groups of at most TOGETHER tokens when all are padded to the group's longest."""
-    group: list = []
+    """Pieces by length, in groups of about TOGETHER tokens."""
+    group, size = [], 0
     for p in sorted(pieces, key=lambda p: -len(p[0])):
-        if group and (len(group) + 1) * len(group[0][0]) > TOGETHER:
-            yield group
-            group = []
         group.append(p)
+        size += len(p[0])
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
     if group:
         yield group
 
 
-def expected_counts(texts: DataFrame, symbols, model) -> DataFrame:
-    """(kind, at, x array<double>) added up over all partitions: kind 0 start, 1 a row of move, 2 a row of emit."""
+def as_symbols(texts: DataFrame, symbols) -> DataFrame:
+    """Every text as its symbols, two bytes each, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = symbols.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([known.read(tokens(t.as_py()))[0].astype(np.int16).tobytes() for t in batch.column(0)], pa.binary())], names=["symbols"])
+
+    return cut(texts.mapInArrow(run, "symbols binary"))
+
+
+def expected_counts(texts: DataFrame, size: int, model) -> DataFrame:
+    """(kind, at, x0, x1, ...) added up over all partitions: kind 0 start, 1 a row of move, 2 a row of emit, 3 the
+    likelihood and the number of symbols."""
     k = STATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now = symbols.value, model.value
-        sums = [np.zeros(k), np.zeros((k, k)), np.zeros((len(known.shares), k))]
-        pieces, size = [], 0
+        now = model.value
+        sums = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0]
+        pieces, held, total = [], 0, 0
 
         def add():
             for group in grouped(pieces):
-                for have, new in zip(sums, expected(now, group)):
-                    have += new
+                for i, new in enumerate(expected(now, group)):
+                    sums[i] += new
 
         for batch in batches:
             for t in batch.column(0):
-                new = pieces_of(known.read(tokens(t.as_py()))[0])
-                pieces += new
-                size += sum(len(p) for p, _ in new)
-                if size >= 5 * TOGETHER:
+                one = np.frombuffer(t.as_py(), np.int16)
+                pieces += pieces_of(one)
+                held, total = held + len(one), total + len(one)
+                if held >= 5 * TOGETHER:
                     add()
-                    pieces, size = [], 0
+                    pieces, held = [], 0
         if pieces:
             add()
-        rows = [(0, 0, sums[0])] + [(1, i, r) for i, r in enumerate(sums[1])] + [(2, i, sums[2][i]) for i in np.flatnonzero(sums[2].sum(1))]
-        if sums[0].any():
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[1]) for r in rows], pa.int32())] + [pa.array([r[2][s] for r in rows]) for s in range(k)], names=["kind", "at"] + [f"x{s}" for s in range(k)])
+        if total:
+            met = np.flatnonzero(sums[2].sum(1))
+            rows = np.concatenate([sums[0][None], sums[1], sums[2][met], [[sums[3], total] + [0.0] * (k - 2)]])
+            kind = np.repeat([0, 1, 2, 3], [1, k, len(met), 1])
+            at = np.concatenate([[0], np.arange(k), met, [0]])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), *map(pa.array, rows.T)], names=["kind", "at"] + [f"x{s}" for s in range(k)])
 
     schema = "kind int, at int, " + ", ".join(f"x{s} double" for s in range(k))
     return texts.mapInArrow(run, schema).groupBy("kind", "at").agg(*[F.sum(f"x{s}").alias(f"x{s}") for s in range(k)])
 
 
-def baum_welch(texts: DataFrame, warm: list[list[bytes]], symbols: Symbols, shared) -> Model:
+def baum_welch(texts: DataFrame, shares: np.ndarray) -> tuple[Model, list[float]]:
+    """The model, and the mean log10 likelihood of a symbol before each round; texts as as_symbols gives them."""
     sc = texts.sparkSession.sparkContext
-    model = first_model(symbols.shares, STATES)
-    pieces = [p for ws in warm if ws for p in pieces_of(symbols.read(ws)[0])]
-    groups = list(grouped(pieces))
-    for _ in range(WARM_ROUNDS if groups else 0):
-        parts = [expected(model, g) for g in groups]
-        model = improved(*(sum(p[i] for p in parts) for i in range(3)), symbols.shares)
-    for _ in range(PASSES):
+    model, path = first_model(shares, STATES), []
+    for _ in range(ROUNDS):
         held = sc.broadcast(model)
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(symbols.shares), STATES))
-        rows = expected_counts(texts, shared, held).collect()  # a row for each symbol and state
+        start, move, emit, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(shares), STATES)), np.zeros(STATES)
+        rows = expected_counts(texts, len(shares), held).collect()  # a row for each symbol and state
+        held.unpersist()
         if not rows:  # no training texts
-            return model
+            break
         for r in rows:
-            (start[None], move, emit)[r["kind"]][r["at"]] = [r[f"x{s}"] for s in range(STATES)]
-        model = improved(start, move, emit, symbols.shares)
-    return model
+            (start[None], move, emit, log[None])[r["kind"]][r["at"]] = [r[f"x{s}"] for s in range(STATES)]
+        path.append(log[0] / log[1])
+        model = improved(start, move, emit, shares)
+        if len(path) > 1 and path[-1] - path[-2] < RISE:
+            break
+    return model, path
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -332,11 +347,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Data
     counts = cut(count_tokens(texts))
     symbols, n, v, head_bin = fit_symbols(counts)
     shared = sc.broadcast(symbols)  # at most HEAD words and OWN + CLASSES symbols
-    picked = training.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(WARM_DOCS)
-    begun = training.join(F.broadcast(picked.distinct()), F.xxhash64("doc_id", "text") == picked["h"]).select(F.substring(training["text"].cast("string"), 1, WARM_CHARS).alias("text"), (F.length("text") > WARM_CHARS).alias("more"), "h")
-    # where a text goes on, its last word may be cut and its end is not there
-    warm = [tokens(t)[:-2] if more else tokens(t) for t, more, _ in begun.limit(2 * WARM_DOCS).sort("h").collect()]
-    model = sc.broadcast(baum_welch(texts, warm, symbols, shared))
+    trained, _ = baum_welch(as_symbols(texts, shared), symbols.shares)
+    model = sc.broadcast(trained)
     scored = cut(head_scores(docs, shared, model))
     tail = scored.where("tail <> ''").select("row_id", F.explode(F.split("tail", " ")).alias("word"))
     rare = counts.where(octave(F.col("n")) < head_bin).select(F.col("token").cast("string").alias("word"), "n")
