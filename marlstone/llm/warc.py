@@ -1,8 +1,8 @@
 """Zstandard WARC archives: write one frame per record behind a dictionary frame, and read them back.
 
 An archive starts with a skippable frame that holds the compression dictionary (raw, or itself compressed); every
-record is one zstd frame of its own. The reader walks frame and block headers to find each frame's end, so it holds one
-record at a time, and checks magic numbers, lengths, WARC header lines, block length, the closing blank lines and the
+record is one zstd frame of its own. The reader streams the file through a window of about CHUNK bytes and decodes a frame
+at a time, whether or not its header states the content's size, so it holds one record at a time; it checks magic numbers, lengths, WARC header lines, block length, the closing blank lines and the
 payload digest.
 
 Writing: each task rolls archives of about `archive_mb` into the shared folder under names of its own, and returns a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from marlstone.session import cut, shared_dir
 FRAME_MAGIC, DICTIONARY_MAGIC, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 #: Pages from which the dictionary is trained, the most characters of each, and the dictionary's bytes.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 32_768
+#: Bytes of an archive read at a time, and given to a frame's decoder at a time.
+CHUNK, FEED = 1 << 20, 1 << 13
 RECORD, PROFILE = "urn:marlstone:page:", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "path string, records long, bytes long"
@@ -44,54 +47,72 @@ class WarcError(ValueError):
     """A malformed archive or record."""
 
 
-def frame_end(buf: memoryview, at: int) -> int:
-    """Where the zstd frame that starts at `at` ends."""
-    if len(buf) - at < 6 or struct.unpack_from("<I", buf, at)[0] != FRAME_MAGIC:
-        raise WarcError(f"no frame at byte {at}")
-    kind = buf[at + 4]
-    single = kind >> 5 & 1
-    pos = at + 5 + (not single) + (0, 1, 2, 4)[kind & 3] + ((1 if single else 0), 2, 4, 8)[kind >> 6]
-    while True:
-        if pos + 3 > len(buf):
-            raise WarcError(f"frame at byte {at} is cut short")
-        head = int.from_bytes(buf[pos : pos + 3], "little")
-        pos += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
-        if head & 1:
-            break
-    pos += 4 * (kind >> 2 & 1)
-    if pos > len(buf):
-        raise WarcError(f"frame at byte {at} is cut short")
-    return pos
-
-
-def read_dictionary(buf: memoryview) -> tuple[zstandard.ZstdCompressionDict | None, int]:
-    """The dictionary of the leading skippable frame, if there is one, and where the records start."""
-    if len(buf) < 8 or struct.unpack_from("<I", buf)[0] != DICTIONARY_MAGIC:
-        return None, 0
-    size = struct.unpack_from("<I", buf, 4)[0]
-    if 8 + size > len(buf):
-        raise WarcError("dictionary frame is cut short")
-    data = bytes(buf[8 : 8 + size])
-    if data[:4] == struct.pack("<I", FRAME_MAGIC):
-        data = zstandard.ZstdDecompressor().decompress(data)
-    return zstandard.ZstdCompressionDict(data), 8 + size
-
-
-def frames(data: bytes) -> Iterator[bytes]:
-    """The content of every record frame."""
-    buf = memoryview(data)
-    dictionary, pos = read_dictionary(buf)
-    reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while pos < len(buf):
-        if len(buf) - pos >= 8 and struct.unpack_from("<I", buf, pos)[0] in SKIPPABLE:
-            pos += 8 + struct.unpack_from("<I", buf, pos + 4)[0]
-            continue
-        end = frame_end(buf, pos)
+class Window:
+    """The unread bytes of a file, of which about CHUNK are held at a time."""
+
+    def __init__(self, file):
+        self.file, self.data, self.begin, self.at = file, b"", 0, 0
+
+    def fill(self, n: int) -> int:
+        """How many bytes stand unread, at least n unless the file ends before."""
+        while len(self.data) - self.begin < n and (more := self.file.read(max(CHUNK, n))):
+            self.data, self.begin = self.data[self.begin :] + more, 0
+        return len(self.data) - self.begin
+
+    def ahead(self, n: int) -> bytes:
+        """The next n bytes or what there is of them; they stay unread."""
+        self.fill(n)
+        return self.data[self.begin : self.begin + n]
+
+    def take(self, n: int, what: str) -> bytes:
+        out = self.ahead(n)
+        if len(out) < n:
+            raise WarcError(f"{what} at byte {self.at} is cut short")
+        self.begin += n
+        self.at += n
+        return out
+
+    def frame(self, opener: zstandard.ZstdDecompressor) -> bytes:
+        """The content of the zstd frame that starts here, whether or not its header tells the size."""
+        start, reader, out = self.at, opener.decompressobj(), []
         try:
-            yield reader.decompress(buf[pos:end])
+            while not reader.eof:
+                if not self.fill(1):
+                    raise WarcError(f"frame at byte {start} is cut short")
+                given = self.data[self.begin : self.begin + FEED]
+                out.append(reader.decompress(given))
+                used = len(given) - len(reader.unused_data)
+                self.begin += used
+                self.at += used
         except zstandard.ZstdError as e:
-            raise WarcError(f"frame at byte {pos}: {e}") from e
-        pos = end
+            raise WarcError(f"frame at byte {start}: {e}") from e
+        return b"".join(out)
+
+    def skip(self, n: int) -> None:
+        while n:
+            n -= len(self.take(min(n, CHUNK), "skippable frame"))
+
+
+def frames(source) -> Iterator[bytes]:
+    """The content of every record frame of an archive, given as bytes or as a file open for reading; one record and
+    about CHUNK bytes are held at a time. The dictionary is that of the leading skippable frame, if there is one."""
+    window = Window(io.BytesIO(source) if isinstance(source, bytes) else source)
+    opener = zstandard.ZstdDecompressor()
+    while head := window.ahead(8):
+        magic, size = int.from_bytes(head[:4], "little"), int.from_bytes(head[4:], "little")
+        if magic == DICTIONARY_MAGIC and not window.at:
+            window.take(8, "dictionary frame")
+            data = window.take(size, "dictionary frame")
+            if data[:4] == struct.pack("<I", FRAME_MAGIC):
+                data = Window(io.BytesIO(data)).frame(zstandard.ZstdDecompressor())
+            opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
+        elif magic in SKIPPABLE:
+            window.take(8, "skippable frame")
+            window.skip(size)
+        elif magic == FRAME_MAGIC:
+            yield window.frame(opener)
+        else:
+            raise WarcError(f"no frame at byte {window.at}")
 
 
 def header_lines(block: bytes, first: bytes) -> dict[str, str]:
@@ -252,15 +273,14 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for folder, path in zip(*(c.to_pylist() for c in batch.columns)):
                 store, _ = fs.FileSystem.from_uri(folder)
-                with store.open_input_file(path) as f:
-                    data = f.read()
                 rows, size = [], 0
-                for record in frames(data):
-                    rows.append(parse_record(record)[: len(types)])
-                    size += len(record) if payloads else 300
-                    if size >= 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
-                        rows, size = [], 0
+                with store.open_input_stream(path, compression=None) as f:
+                    for record in frames(f):
+                        rows.append(parse_record(record)[: len(types)])
+                        size += len(record) if payloads else 300
+                        if size >= 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 

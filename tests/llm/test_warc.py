@@ -65,6 +65,31 @@ def test_dictionary_frame(packed):
     assert list(warc.frames(archive(samples, d, packed))) == samples
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_streamed_frames_without_sizes(chunk, monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    records = [GOOD, GOOD * 2000, b""]
+    data = struct.pack("<II", 0x184D2A51, 3) + b"abc"
+    for r in records:
+        c = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+        data += c.compress(r) + c.flush()
+    assert list(warc.frames(io.BytesIO(data))) == records == list(warc.frames(data))
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(data[:-2])))
+
+
+def test_columns_with_clashing_names_and_many_equal_payloads(pages):
+    from pyspark.sql import functions as F
+
+    odd = pages.select("*", *[F.lit(i).alias(n) for i, n in enumerate(["sha1", "refers_to", "size", "first", "n", "p", "s", "path", "folder"])])
+    assert sorted(map(tuple, warc.archived_pages(odd).collect()), key=repr) == sorted(map(tuple, warc.archived_pages(pages).collect()), key=repr)
+    many = pages.limit(0).unionAll(pages.sparkSession.range(3000).selectExpr("id as page_id", "'u' as url", "'same' as html"))
+    rows = warc.archived_pages(many).groupBy("record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in rows} == {("response", None, 1), ("revisit", 0, 2999)}
+
+
 def test_skippable_frames_between_records():
     data = archive([GOOD]) + struct.pack("<II", 0x184D2A51, 3) + b"abc" + archive([GOOD])
     assert list(warc.frames(data)) == [GOOD, GOOD]
