@@ -38,10 +38,13 @@ def doc_hash(doc_id: Column, text: Column) -> Column:
 def source_ranks(sizes: DataFrame) -> DataFrame:
     """Adds rank (0, 1, ... by code point, null last), found from sorted partitions and their row counts."""
     ordered = cut(sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
-    parts = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    earlier = parts.select(F.col("part").alias("before"), F.col("n").alias("more"))
-    starts = parts.join(small(earlier, 1), F.col("before") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("start"))
-    return ordered.withColumn("part", F.shiftright("at", 33)).join(small(starts, 1), "part").select("source", "source_size", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    parts = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a row per partition
+    start, starts = 0, [(-1, 0)]
+    for part, n in sorted(parts):
+        starts.append((part, start))
+        start += n
+    begun = F.create_map(*[F.lit(x) for pair in starts for x in pair])
+    return ordered.select("source", "source_size", (F.element_at(begun, F.shiftright("at", 33).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("rank"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
