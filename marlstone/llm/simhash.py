@@ -4,16 +4,23 @@ A fingerprint's 64 bits are cut into BLOCKS blocks. Two fingerprints that differ
 least BLOCKS - DISTANCE blocks, so they share the key made of some choice of that many blocks. Distinct fingerprints
 are joined on those keys, each pair is verified by its Hamming distance, and the components of the links are found.
 
+The pipeline's stage (`keep_one_similar`) removes texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
+more. At 0.8 two 64-bit fingerprints differ in some 10 bits, which no choice of blocks finds at a bearable number of keys,
+so there the blocks' pairs are joined by others: texts that share one of BANDS keys of ROWS minimum hashes each are
+compared with the least and the greatest text of the key. Every pair, of either kind, is verified on the whole sets.
+
 With 6 blocks and distance 3 a key holds 32 or so bits: chance pairs stay rare where single 16-bit blocks would pair
 a large part of the table with itself. Copies collapse to one fingerprint first, whatever their number.
 
 Defined cases: null text is empty; texts without words have fingerprint zero, linked like any other; a null doc_id is
-never a component's id unless all ids of the component are null; extra columns of the input are not looked at.
+never a component's id unless all ids of the component are null; extra columns of the input are not looked at. For
+similarity, a text with fewer words than a shingle has one shingle, all its words; texts without words are alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -26,29 +33,37 @@ from marlstone.llm.components import components
 from marlstone.session import cut
 
 SHINGLE, SEED, BLOCKS, DISTANCE = 3, 42, 6, 3
+#: Words of a shingle and least Jaccard similarity of near copies; keys of a text, and minimum hashes in each: a pair at
+#: 0.8 shares no key in (1 - 0.8^6)^24 = 0.07 % of cases.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 #: Shingles whose bits are summed at a time.
 STEP = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+def hash_parts(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in order, at most STEP at a time."""
     # bytes.lower and bytes.split know ASCII only: A-Z, and the white space 9 to 13 and 32
     ws = (text or "").encode("utf-8").lower().split()
-    if not ws:
-        return 0
-    n = max(1, len(ws) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    n = max(1, len(ws) - shingle + 1) if ws else 0
     for at in range(0, n, STEP):
-        ends = range(at, min(at + STEP, n))
-        if shingle == 3 and len(ws) >= 3:
-            parts = zip(ws[at : ends[-1] + 1], ws[at + 1 : ends[-1] + 2], ws[at + 2 : ends[-1] + 3])
-        else:
-            parts = (ws[i : i + shingle] for i in ends)
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(p), seed) for p in parts), np.uint64, len(ends)).astype(">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        part = ws[at : at + STEP + shingle - 1]
+        parts = zip(*(part[k:] for k in range(shingle))) if len(ws) > shingle else [part]
+        yield np.fromiter((xxh64_intdigest(b" ".join(p), seed) for p in parts), np.uint64, min(STEP, n - at))
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The unsigned 64-bit fingerprint: a bit is 1 if set in over half of the hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(hash_parts(text, shingle, seed))
+
+
 def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The kept columns packed in `row`, and fingerprint as a signed long."""
     source = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].cast("string").alias("text"))
@@ -93,14 +108,115 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return classes(docs, **how).select("row.doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hash_parts(text, shingle, seed)]))
+
+
+@cache
+def mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(17)
+    return tuple(rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One key for each band, from `rows` minimum hashes; texts without shingles have the same keys."""
+    factors, shifts = mixers(bands * rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), STEP // 16):
+        mixed = hashes[at : at + STEP // 16, None] * factors + shifts
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0), out=least)
+    return np.array([xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
+
+
+def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, fingerprint, component_id) of docs (doc_id, text, tie): fingerprint is the hash of a text's shingle set,
+    component_id the smallest doc_id reachable over pairs with at least the similarity. Texts move only for the
+    candidates of such pairs."""
+    source = docs.select(F.struct("doc_id", "tie").alias("row"), docs["text"].cast("string").alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, simhash, keys = [], [], []
+            for t in batch.column(1):
+                parts = list(hash_parts(t.as_py(), shingle, SEED))
+                hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+                whole.append(xxh64_intdigest(hashes.tobytes(), SEED))
+                simhash.append(majority(parts))
+                keys.append(band_keys(hashes))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(whole), signed(simhash), pa.array(keys, pa.list_(pa.int64()))], names=["row", "fingerprint", "simhash", "keys"])
+
+    schema = source.select("row", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("simhash"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    marked = cut(source.mapInArrow(mark, schema))
+    sets = cut(marked.groupBy(F.col("fingerprint").alias("s")).agg(F.min("row").alias("lead"), F.min(F.col("row.doc_id").cast("long")).alias("first"), F.min("simhash").alias("fp"), F.any_value("keys").alias("keys")))
+    pairs = cut(_candidates(sets))
+    near = _verified(docs, sets, pairs, shingle, similarity)
+    found = components(near)
+    members = sets.join(found, sets["s"] == found["node"], "left").select("s", "first", F.coalesce("component", "s").alias("component"))
+    least = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = members.join(least, "component").select("s", "component_id")
+    return marked.join(ids, marked["fingerprint"] == ids["s"], "left").select("row", "fingerprint", "component_id")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(a, b): sets that share a band's key with its least or greatest one, or whose fingerprints are DISTANCE bits apart
+    or less. Ends of keys and equal fingerprints are found by partial sums, so no group is gathered."""
+    keyed = sets.select("s", F.posexplode("keys").alias("band", "key"))
+    ends = keyed.groupBy("band", "key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
+    stars = keyed.join(ends, ["band", "key"]).select("s", F.explode(F.array("low", "high")).alias("t"))
+    by_fp = cut(sets.groupBy("fp").agg(F.min("s").alias("t")))
+    same = sets.join(by_fp, "fp").select("s", "t")
+    of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("t").alias(f"{c}_t"))
+    blocks = links(by_fp.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_t").alias("s"), F.col("b_t").alias("t"))
+    return stars.unionByName(same).unionByName(blocks).where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity."""
+    named = lambda c: [F.coalesce(c("doc_id").cast("long"), F.lit(0)).alias("k"), c("doc_id").isNull().alias("none"), c("tie").alias("tie")]
+    needed = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
+    leads = sets.join(needed, "s").select("s", *named(lambda c: F.col(f"lead.{c}")))
+    texts = docs.select(*named(lambda c: docs[c]), docs["text"].cast("string").alias("text")).join(leads, ["k", "none", "tie"]).select("s", "text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["s", "hashes"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = cut(texts.mapInArrow(hashes, "s long, hashes binary").dropDuplicates(["s"]))
+    of = lambda c: whole.select(F.col("s").alias(c), F.col("hashes").alias(f"{c}_hashes"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(near, "a long, b long")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The input's columns, one document of each class: that with the smallest doc_id.
+    """The input's columns, one document of each class of linked fingerprints: that with the smallest doc_id."""
+    tie = F.xxhash64(docs["text"])
+    return _lead_rows(docs, classes(docs.select("doc_id", "text", tie.alias("tie")), keep=("doc_id", "tie"), **how))
+
+
+def keep_one_similar(docs: DataFrame, **how) -> DataFrame:
+    """The input's columns, one document of each class of near copies: that with the smallest doc_id."""
+    tie = F.xxhash64(docs["text"])
+    return _lead_rows(docs, similar_classes(docs.select("doc_id", "text", tie.alias("tie")), **how))
+
+
+def _lead_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose id names their component.
 
-    Only ids and fingerprints move to find the classes; the texts then meet the kept ids in one shuffle. Of rows that
+    Only ids and fingerprints moved to find the classes; the texts then meet the kept ids in one shuffle. Of rows that
     repeat the smallest id one stays; a class whose ids are all null keeps one row for each of its fingerprints.
     """
     tie = F.xxhash64(docs["text"])
-    found = classes(docs.select("doc_id", "text", tie.alias("tie")), keep=("doc_id", "tie"), **how)
     lead = found.where(F.expr("row.doc_id <=> component_id")).select(F.coalesce(F.col("row.doc_id").cast("long"), F.col("fingerprint")).alias("k"), F.col("row.doc_id").isNull().alias("none"), F.col("row.tie").alias("tie"))
     lead = lead.groupBy("k", "none").agg(F.min("tie").alias("tie"))
     # a null id is replaced by the text's hash on both sides, so that plain keys join and then deal out the window

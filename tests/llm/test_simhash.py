@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from marlstone.llm import simhash
@@ -89,6 +90,37 @@ def test_one_of_each_class_stays(near, odd, clashing, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_near_copies_at_five_words(spark):
+    """Pairs of unequal texts at 0.8 or more, found by brute force over the documents, fall into one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text).tolist()) for r in docs.collect()}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 0.8 * len(sets[a]) <= len(sets[b]) <= len(sets[a]) / 0.8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    unequal = [(a, b) for a, b in pairs if sets[a] != sets[b]]
+    found = {r["row"]["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs.withColumn("tie", F.xxhash64("text"))).collect()}
+    assert len(unequal) >= 10 and all(found[a] == found[b] for a, b in pairs)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert found == {i: find(i) for i in ids}
+
+
+def test_one_of_near_copies_stays(table, odd, clashing, empty):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :]), "en", "s", 0) for i in range(5, 300, 20)] + [(900, " ".join(reversed(words)), "en", "s", 0)]
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(table(rows)).collect()) == [5, 900]
+    ids = [r.doc_id for r in simhash.keep_one_similar(odd).collect()]
+    assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids
+    assert simhash.keep_one_similar(clashing).columns == clashing.columns
+    assert simhash.keep_one_similar(empty).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(-5, 300), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
