@@ -35,7 +35,8 @@ def neighbours(edges: DataFrame, node: str, inbound: bool, types: Sequence[str]
 def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = False) -> DataFrame:
     """(node_id, depth): nodes reached from starts (node_id) within `depth` steps, at their least depth; starts are 0."""
     here, there = ("dst", "src") if inbound else ("src", "dst")
-    step = edges.select(F.col(here).alias("at"), F.col(there).alias("to"))
+    # derived once, however many steps there are
+    step = cut(edges.select(F.col(here).alias("at"), F.col(there).alias("to")).distinct())
     seen = cut(starts.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = seen
     for d in range(1, depth + 1):
@@ -50,7 +51,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = False
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 12) -> DataFrame:
     """(step, node_id) of the shortest directed path; of equal paths the one whose parents are smallest, from the goal back."""
     spark = edges.sparkSession
-    step = edges.select("src", "dst")
+    step = cut(edges.select("src", "dst").distinct())
     seen = cut(spark.createDataFrame([(start, None, 0)], "node_id string, parent string, depth long"))
     frontier, found = seen, start == goal
     for d in range(1, most + 1):

@@ -5,46 +5,83 @@ Files are DataFrames (doc_id, repo_id, file_path, text); hits carry character an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quoted(needle: str) -> str:
-    """A regular expression for the needle itself."""
-    return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+#: Needles that go to the workers in one block.
+BLOCK = 20_000
+HITS = "doc_id long, file_path string, item_id long, ordinal long, char_offset long, byte_offset long, line long"
+
+
+def located(text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(character, byte, line) of each hit (character offset first), in ascending order; the text is read once."""
+    at = bytes_before = 0
+    line = 1
+    for start, _ in hits:
+        between = text[at:start]
+        bytes_before += len(between.encode())
+        line += between.count("\n")
+        at = start
+        yield start, bytes_before, line
+
+
+def _found(files: DataFrame, needles: dict[str, list[int]]) -> DataFrame:
+    """HITS rows of one block of needles; the automaton reads each text once, however many needles there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for needle in needles:
+            machine.add_word(needle, needle)
+        machine.make_automaton()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                free, hits, counts = dict.fromkeys(needles, 0), [], {}
+                for end, needle in machine.iter(text):
+                    start = end + 1 - len(needle)
+                    if start >= free[needle]:  # occurrences of one needle do not overlap, as a left-to-right search has them
+                        free[needle] = end + 1
+                        hits.append((start, needle))
+                if not hits:
+                    continue
+                hits.sort()
+                rows = []
+                for (start, needle), place in zip(hits, located(text, hits)):
+                    ordinal = counts[needle] = counts.get(needle, -1) + 1
+                    rows += [(item, ordinal, *place) for item in needles[needle]]
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "file_path", "item_id", "ordinal", "char_offset", "byte_offset", "line"])
+
+    return files.select(F.col("doc_id").cast("long"), "file_path", "text").where("text is not null").mapInArrow(run, HITS)
 
 
 def occurrences(files: DataFrame, needle: str) -> DataFrame:
     """(doc_id, file_path, ordinal, char_offset, byte_offset, line): every non-overlapping occurrence, left to right.
-
-    Texts are cut at the needle where they are; only the lengths of the pieces of matching texts are summed per file.
-    """
+    Map-only: texts that hold the needle are read once where they are."""
     if not needle:
         raise ValueError("the needle is empty")
-    pieces = files.where(F.contains("text", F.lit(needle))).select("doc_id", "file_path", F.posexplode(F.split("text", quoted(needle))).alias("pos", "piece"), F.size(F.split("text", quoted(needle))).alias("n"))
-    sized = pieces.select("doc_id", "file_path", "pos", "n", F.char_length("piece").alias("chars"), F.octet_length("piece").alias("bytes"), (F.char_length("piece") - F.char_length(F.replace("piece", F.lit("\n"), F.lit("")))).alias("breaks"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = needle.count("\n")
-    return sized.select(
-        "doc_id",
-        "file_path",
-        F.col("pos").cast("long").alias("ordinal"),
-        (F.sum("chars").over(upto) + F.col("pos") * len(needle)).cast("long").alias("char_offset"),
-        (F.sum("bytes").over(upto) + F.col("pos") * len(needle.encode())).cast("long").alias("byte_offset"),
-        (F.sum("breaks").over(upto) + F.col("pos") * inside + 1).cast("long").alias("line"),
-        "n",
-    ).where(F.col("pos") < F.col("n") - 1).drop("n")
+    return _found(files.where(F.contains("text", F.lit(needle))), {needle: [0]}).drop("item_id")
 
 
 def needles_found(files: DataFrame, needles: DataFrame) -> DataFrame:
-    """(item_id, doc_id, file_path, char_offset, byte_offset, line) of the first occurrence of each needle (item_id, needle)
-    in each file. The needles are the stated query set: they go to every executor in one block, the files stay in place.
-    """
-    hits = files.join(F.broadcast(needles.where(F.length("needle") > 0)), F.contains(F.col("text"), F.col("needle")))
-    before = F.substring("text", F.lit(1), F.col("at") - 1)
-    return hits.withColumn("at", F.expr("locate(needle, text)")).select(
-        "item_id", "doc_id", "file_path", (F.col("at") - 1).cast("long").alias("char_offset"), F.octet_length(before).cast("long").alias("byte_offset"), (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line")
-    )
+    """(item_id, doc_id, file_path, ordinal, char_offset, byte_offset, line) of every occurrence of each needle (item_id,
+    needle) in each file; occurrences of one needle do not overlap. The needles are the stated query set: they go to the
+    workers in blocks of BLOCK, the files stay in place. Needles that are null or empty have no occurrence."""
+    wanted = sorted((r[0], r[1]) for r in needles.where(F.length("needle") > 0).select("item_id", "needle").collect())
+    out = None
+    for at in range(0, max(len(wanted), 1), BLOCK):
+        block: dict[str, list[int]] = {}
+        for item, needle in wanted[at : at + BLOCK]:
+            block.setdefault(needle, []).append(item)
+        part = _found(files if block else files.limit(0), block or {"-": []})
+        out = part if out is None else out.unionByName(part)
+    return out.select("item_id", "doc_id", "file_path", "ordinal", "char_offset", "byte_offset", "line")
 
 
 def path_hits(files: DataFrame, wanted: str) -> DataFrame:
@@ -81,19 +118,35 @@ def bm25(files: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -
     return counted.where(every).join(F.broadcast(stats)).select("doc_id", F.round(score, 6).alias("score"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """The vector in doubles, of length 1; a zero vector stays zero."""
+    d = F.transform(v, lambda x: x.cast("double"))
+    return F.element_at(F.transform(F.array(d), lambda x: F.transform(x, lambda y: y / F.nullif(F.sqrt(dot(x, x)), F.lit(0.0)))), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    d = lambda x: F.transform(x, lambda v: v.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(d(x), d(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    return F.coalesce(dot(unit(a), unit(b)), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank) of the k nearest vectors to each query vector; ties by id. The query set goes to
-    every executor; each keeps its k best of every query before any row moves (a per-query partial top k)."""
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("cosine"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) of the k nearest vectors to each query vector; ties by id. Vectors are made unit
+    length once. The query set is counted and goes to the executors in blocks of at most `block` vectors; each keeps its k
+    best of every query before any row moves."""
+    units = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
+    asked = queries.select("query_id", unit(F.col("query")).alias("q"))
+    parts = max(1, -(-asked.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    out = None
+    for part in range(parts):
+        some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        scored = units.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(F.coalesce(dot(F.col("v"), F.col("q")), F.lit(0.0)), 6).alias("cosine"))
+        best = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def dedupe_hits(hits: DataFrame, key: list[str]) -> DataFrame:

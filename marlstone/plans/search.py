@@ -22,11 +22,14 @@ SELECT doc_id, file_path, (pos - 1)::BIGINT AS ordinal, (chars + (pos - 1) * {le
 
 
 @query(f"""
-WITH {FILES_SQL}, hits AS (
-  SELECT b.item_id, f.doc_id, f.file_path, substr(f.text, 1, strpos(f.text, b.text) - 1) AS before FROM files f JOIN benchmark b ON length(b.text) > 0 AND contains(f.text, b.text))
-SELECT item_id, doc_id, file_path, length(before)::BIGINT AS char_offset, strlen(before)::BIGINT AS byte_offset, (length(before) - length(replace(before, chr(10), '')) + 1)::BIGINT AS line FROM hits""")
+WITH {FILES_SQL}, cut AS (SELECT b.item_id, f.doc_id, f.file_path, b.text AS needle, string_split(f.text, b.text) AS parts FROM files f JOIN benchmark b ON length(b.text) > 0 AND contains(f.text, b.text)),
+pieces AS (SELECT item_id, doc_id, file_path, needle, parts, unnest(parts) AS piece, generate_subscripts(parts, 1) AS pos FROM cut),
+summed AS (SELECT *, sum(length(piece)) OVER w + (pos - 1) * length(needle) AS chars, sum(strlen(piece)) OVER w + (pos - 1) * strlen(needle) AS bytes,
+  sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w + (pos - 1) * (length(needle) - length(replace(needle, chr(10), ''))) AS breaks
+  FROM pieces WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT item_id, doc_id, file_path, (pos - 1)::BIGINT AS ordinal, chars::BIGINT AS char_offset, bytes::BIGINT AS byte_offset, (breaks + 1)::BIGINT AS line FROM summed WHERE pos < len(parts)""")
 def search_exact(spark, sf_dir):
-    """Every benchmark passage in every document."""
+    """Every occurrence of every benchmark passage in every document."""
     return S.needles_found(files(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")))
 
 
