@@ -27,11 +27,6 @@ def facts_sql(*kinds: str) -> str:
     return f"WITH {CODE_SQL}, l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM code), e AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM l) {body}"
 
 
-@query(facts_sql("definition"))
-def ext_symbols(spark, sf_dir):
-    return E.facts(code(spark, sf_dir), ["definition"])
-
-
 @query(facts_sql("log_site"))
 def ext_log_sites(spark, sf_dir):
     return E.facts(code(spark, sf_dir), ["log_site"])
@@ -57,11 +52,6 @@ def ext_md_links(spark, sf_dir):
     return E.facts(code(spark, sf_dir), ["wikilink", "tag"])
 
 
-@query(facts_sql("import"))
-def ext_resolve_import(spark, sf_dir):
-    return E.facts(code(spark, sf_dir), ["import"])
-
-
 @query("""
 WITH refs AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_suppkey AS doc_id, l_quantity::BIGINT AS name FROM lineitem), symbols AS (SELECT s_suppkey AS doc_id, s_suppkey % 60 AS name FROM supplier),
 t AS (SELECT name, count(*) AS n FROM symbols GROUP BY name)

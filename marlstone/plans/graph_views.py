@@ -121,15 +121,6 @@ def graph_dsl(spark, sf_dir):
     return d.join(one, F.col("dst") == F.col("mid")).select(F.concat_ws(">", "src", "tail").alias("path"))
 
 
-@query("""WITH k AS (SELECT p_partkey, 'svc' || p_size || '/' || p_name AS rpc FROM part), m AS (SELECT p_partkey, rpc, replace(rpc, '/', '.') AS dotted, split_part(rpc, '/', 2) AS method FROM k)
-SELECT p_partkey, dotted, count(*) OVER (PARTITION BY method)::BIGINT AS same_method FROM m""")
-def graph_resolve_grpc(spark, sf_dir):
-    """Slash and dot forms of a call, and how many share its bare method."""
-    rpc = F.concat(F.lit("svc"), F.col("p_size").cast("string"), F.lit("/"), "p_name")
-    m = table(spark, sf_dir, "part").select("p_partkey", F.replace(rpc, F.lit("/"), F.lit(".")).alias("dotted"), F.split_part(rpc, F.lit("/"), F.lit(2)).alias("method"))
-    return m.join(m.groupBy("method").agg(F.count("*").alias("same_method")), "method").select("p_partkey", "dotted", "same_method")
-
-
 @query("SELECT p_name AS method, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS package, CASE WHEN count(DISTINCT p_brand) = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM part GROUP BY p_name")
 def call_target(spark, sf_dir):
     """A method is called in the one package that has it."""

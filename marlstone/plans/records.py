@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 from marlstone.plans.base import query, table
 
 
-@query("SELECT event_id FROM events WHERE event_type <> 'error' AND value >= 10 AND event_id % 3 <> 0 ORDER BY value DESC, event_id LIMIT 100")
-def memory_recall(spark, sf_dir):
-    """Active items, most confident first."""
-    e = table(spark, sf_dir, "events")
-    return e.where((F.col("event_type") != "error") & (F.col("value") >= 10) & (F.col("event_id") % 3 != 0)).orderBy(F.desc("value"), "event_id").limit(100).select("event_id")
-
-
 @query("SELECT user_id, count(*)::BIGINT AS items, sum((value < 20)::INT)::BIGINT AS expired FROM events GROUP BY user_id")
 def memory_remember(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("items"), F.sum((F.col("value") < 20).cast("long")).alias("expired"))
@@ -25,12 +18,6 @@ def ontology_upsert(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_type")).alias("alias")).agg(F.count_distinct("p_brand").alias("owners")).where("owners > 1")
 
 
-@query("SELECT status, sum(n)::BIGINT AS n FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'draft' WHEN 'P' THEN 'reviewed' ELSE 'verified' END AS status, 1 AS n FROM orders) GROUP BY status")
-def evidence_lifecycle(spark, sf_dir):
-    s = F.element_at(F.create_map(*[F.lit(x) for x in ("O", "draft", "P", "reviewed", "F", "verified")]), F.col("o_orderstatus"))
-    return table(spark, sf_dir, "orders").groupBy(s.alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unindexed' ELSE 'missing_file' END AS problem FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def evidence_doctor(spark, sf_dir):
     """Files and index compared both ways."""
@@ -38,14 +25,6 @@ def evidence_doctor(spark, sf_dir):
     return d.join(i, "doc_id", "left_anti").withColumn("problem", F.lit("unindexed")).unionAll(i.join(d, "doc_id", "left_anti").withColumn("problem", F.lit("missing_file")))
 
 
-@query("SELECT a.p_partkey, 'disputed' AS status FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE a.p_name = b.p_name AND a.p_brand <> b.p_brand)")
-def why_conflict(spark, sf_dir):
-    """Cards of one subject with different decisions."""
-    p = table(spark, sf_dir, "part")
-    many = p.groupBy("p_name").agg(F.count_distinct("p_brand").alias("n")).where("n > 1")
-    return p.join(many, "p_name", "left_semi").select("p_partkey", F.lit("disputed").alias("status"))
-
-
 @query("SELECT sha256(event_type || '|' || props) AS row_hash, min(event_id) AS event_id, count(*)::BIGINT AS rows FROM events GROUP BY event_type, props")
 def log_correlate(spark, sf_dir):
     """Rows alike in content, once each."""

@@ -58,19 +58,6 @@ def rev_manifest(spark, sf_dir):
     return R.manifest(depth, "path").select("path", "o_orderkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'never_indexed' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'advanced' ELSE 'fresh' END AS freshness FROM orders")
-def rev_freshness(spark, sf_dir):
-    f = F.when(F.col("o_orderstatus") == "P", "never_indexed").when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"), "advanced").otherwise("fresh")
-    return table(spark, sf_dir, "orders").select("o_orderkey", f.alias("freshness"))
-
-
-@query("SELECT e.event_id, coalesce(CASE WHEN e.event_type = 'purchase' THEN 'commit' END, CASE WHEN c.c_custkey IS NOT NULL THEN 'deployment' END, 'live') AS resolved_by FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
-def rev_code_version(spark, sf_dir):
-    """Ladder: own commit, then a deployment, then the live branch."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("deployment").alias("d"))
-    return table(spark, sf_dir, "events").join(c, "user_id", "left").select("event_id", F.coalesce(F.when(F.col("event_type") == "purchase", "commit"), "d", F.lit("live")).alias("resolved_by"))
-
-
 @query("SELECT o_custkey, count(*)::BIGINT AS snapshots, max(o_orderkey) AS head, sum((o_orderstatus = 'O')::INT)::BIGINT AS stale FROM orders GROUP BY o_custkey")
 def rev_trust(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("snapshots"), F.max("o_orderkey").alias("head"), F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("stale"))
@@ -96,13 +83,6 @@ def sink_blob(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-@query("SELECT k, max(side) AS side FROM (SELECT o_custkey AS k, 0 AS side FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_acctbal > 0) GROUP BY k")
-def sink_node_upsert(spark, sf_dir):
-    """Latest write wins per identity."""
-    a = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.lit(0).alias("side"))
-    return a.unionAll(table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.lit(1))).groupBy("k").agg(F.max("side").alias("side"))
-
-
 @query("SELECT c_custkey, CASE n WHEN 1 THEN 'link' ELSE 'drop' END AS outcome FROM (SELECT c_custkey, count(DISTINCT s_suppkey) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY c_custkey) UNION ALL SELECT c_custkey, 'keep' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def sink_pending_edges(spark, sf_dir):
     """One candidate links, several drop, none keeps the pending edge."""
@@ -122,9 +102,3 @@ def backfill_resume(spark, sf_dir):
     """The batch after a checkpoint key, up to the next."""
     key = F.concat_ws(":", "source", "lang")
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("key")).where((F.col("key") > "src10:en") & (F.col("key") <= "src15:fr"))
-
-
-@query("SELECT c.c_custkey, CASE WHEN s.s_suppkey IS NOT NULL THEN 'id' ELSE 'none' END AS matched_by FROM customer c LEFT JOIN supplier s ON c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey")
-def artifact_conflicts(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.lit("id").alias("m"))
-    return table(spark, sf_dir, "customer").join(s, ["c_custkey", "c_nationkey"], "left").select("c_custkey", F.coalesce("m", F.lit("none")).alias("matched_by"))

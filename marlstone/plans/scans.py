@@ -124,11 +124,6 @@ def filter_sensitive(spark, sf_dir):
     return table(spark, sf_dir, "labels").where((F.coalesce("toxic", F.lit(0)) == 0) & (F.col("quality") == 1)).select("doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('N', 'R') AND l_discount < 0.05 THEN 'verified' ELSE 'candidate' END AS proof FROM lineitem")
-def filter_edge_trust(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag").isin("N", "R") & (F.col("l_discount") < 0.05), "verified").otherwise("candidate").alias("proof"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderpriority IS NULL")
 def filter_branch_scope(spark, sf_dir):
     return table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == "1-URGENT") | F.col("o_orderpriority").isNull()).select("o_orderkey")
@@ -141,14 +136,6 @@ def filter_property(spark, sf_dir):
     return table(spark, sf_dir, "events").where((F.lower("event_type") == "purchase") & (k >= 50)).select("event_id")
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), e AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM l)
-SELECT doc_id, n::BIGINT AS line_number FROM e WHERE regexp_matches(line, '(?i)^(licensed|released|this work)')""")
-def filter_markdown(spark, sf_dir):
-    """Lines by pattern, with their numbers."""
-    e = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return e.where(F.col("line").rlike("(?i)^(licensed|released|this work)")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_number"))
-
-
 @query("SELECT event_id FROM events WHERE contains(lower(event_type || chr(10) || props), 'k\": 7') AND event_type <> 'error'")
 def filter_history(spark, sf_dir):
     hay = F.lower(F.concat_ws("\n", "event_type", "props"))

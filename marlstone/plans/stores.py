@@ -66,12 +66,6 @@ def doctor_consistency(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.max("event_id").alias("ledger_last"), F.count("*").alias("applied"), F.when(dense, "consistent").otherwise("gap").alias("status"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 = 0, false) AS stale FROM events")
-def memory_stale_by_revision(spark, sf_dir):
-    """Items whose source names a revision that changed."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') as bigint)") % 5 == 0, F.lit(False)).alias("stale"))
-
-
 @query("SELECT c_custkey, c_nationkey::BIGINT AS nation FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) AND c_custkey IN (SELECT o_custkey FROM orders)")
 def ontology_link(spark, sf_dir):
     """Links whose ends are both there."""
@@ -86,26 +80,6 @@ def evidence_put(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(bad, "rejected").otherwise("accepted").alias("outcome"))
 
 
-# Transitions that a finding may make.
-MOVES = [("view", "click"), ("click", "purchase"), ("signup", "view"), ("view", "purchase"), ("error", "view")]
-
-
-@query(f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in MOVES)}) t(a, b)), e AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, (before IS NULL OR EXISTS (SELECT 1 FROM m WHERE a = before AND b = event_type)) AS allowed FROM e""")
-def finding_fsm(spark, sf_dir):
-    """Whether each step follows from the one before it."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("b"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("a"))
-    moves = spark.createDataFrame(MOVES, "a string, b string").withColumn("ok", F.lit(True))
-    return e.join(F.broadcast(moves), ["a", "b"], "left").select("event_id", (F.col("a").isNull() | F.coalesce("ok", F.lit(False))).alias("allowed"))
-
-
-@query("SELECT l.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'stale' ELSE 'verified' END AS status FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality = 1")
-def why_stale(spark, sf_dir):
-    """Verified cards that cite a changed file."""
-    changed = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10 == 0).alias("changed"))
-    return table(spark, sf_dir, "labels").where("quality = 1").join(changed, "doc_id").select("doc_id", F.when(F.col("changed"), "stale").otherwise("verified").alias("status"))
-
-
 @query("SELECT coalesce(c, s)::BIGINT AS nation, CASE WHEN s IS NULL THEN 'left' WHEN c IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT c_nationkey AS c FROM customer WHERE c_acctbal > 9000) FULL JOIN (SELECT DISTINCT s_nationkey AS s FROM supplier WHERE s_acctbal > 5000) ON c = s")
 def log_targets(spark, sf_dir):
     """Two registries merged by key."""
@@ -146,12 +120,6 @@ def vault_diff(spark, sf_dir):
     return R.diff(c.where("k % 4 <> 0"), c.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))), "k", "v")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'prior' WHEN o_totalprice > 200000 THEN 'canonical' WHEN o_orderkey % 2 = 0 THEN 'merge_base' ELSE 'degraded' END AS base FROM orders")
-def rev_base(spark, sf_dir):
-    base = F.when(F.col("o_orderstatus") == "F", "prior").when(F.col("o_totalprice") > 200000, "canonical").when(F.col("o_orderkey") % 2 == 0, "merge_base").otherwise("degraded")
-    return table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base"))
-
-
 @query("SELECT o_custkey, max(o_orderkey) AS published FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def rev_publish(spark, sf_dir):
     """The newest ready snapshot of each repository."""
