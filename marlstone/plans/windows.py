@@ -49,8 +49,12 @@ def win_section_end(spark, sf_dir):
 
 @query("SELECT o_orderkey, (r <= 20) AS hot FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'P')")
 def win_hot_rank(spark, sf_dir):
+    """The newest 20 of each priority: every task keeps its own best before any row moves, and the few that are left mark
+    the rest, so no task sorts a whole priority."""
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", (F.row_number().over(w) <= 20).alias("hot"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    top = o.select("o_orderpriority", "o_orderdate", "o_orderkey").withColumn("r", F.row_number().over(w)).where("r <= 20").select("o_orderkey", F.lit(True).alias("top"))
+    return o.select("o_orderkey").join(top, "o_orderkey", "left").select("o_orderkey", F.coalesce("top", F.lit(False)).alias("hot"))
 
 
 @query("SELECT user_id, event_id, (lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id)) AS previous FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,15 @@ def get_session(app: str = "marlstone", master: str | None = None, shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a temporary one is taken, in local mode only:
+    on a cluster other machines would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir() or at
