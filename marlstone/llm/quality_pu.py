@@ -39,7 +39,7 @@ from marlstone.llm.toxicity import chosen_ids
 POSITIVES, BITS, LEAST_PART = 8000, 11, 0.5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Ridge, and what a small number of positives adds to it; steps and rate of the descent.
-RIDGE, PULL, STEPS, RATE = 1e-3, 5.0, 600, 0.05
+RIDGE, PULL, STEPS, RATE = 1e-3, 1.0, 600, 0.05
 
 UPPER, LOWER, DIGIT, HIGH = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58), (128, 256)))
 # Groups of characters whose share of the text is a statistic.
