@@ -9,9 +9,9 @@ pay i bytes or less. The thresholds on these counts are calibrated by logistic r
 The ordinary dictionary is trained by the library's cover method on whole ordinary texts. The toxic one is trained by
 cover too, but by contrast: a string of GRAM bytes counts by how much more often toxic texts hold it than their share of
 all texts says (signed root deviance of the binomial), if that exceeds BOUND * sqrt(2 ln of all strings), which chance
-alone hardly reaches; windows of toxic texts are then taken greedily, best gain first, until TOXIC_BYTES are full. Plain
-cover on whole toxic texts fills the dictionary with what all texts share: see the README for figures, also of windows
-of several words.
+alone hardly reaches (where no string does, those of greatest worth count); windows of toxic texts are then taken
+greedily, best gain first, until TOXIC_BYTES are full. Plain cover on whole toxic texts fills the dictionary with what all
+texts share: see the README for figures, also of windows of several words.
 
 Fitting takes a bounded sample: at most TOXIC_ROWS toxic and ORDINARY_ROWS ordinary labelled documents (lowest hashes of
 doc_id) of at most SAMPLE_CHARS characters, outside the held-out fold; the first DICTIONARY_ROWS ordinary ones train the
@@ -199,7 +199,9 @@ def contrast(sample: DataFrame, toxic_share: float) -> dict[bytes, float]:
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * share))).otherwise(0.0)
     worth = F.sqrt(2 * F.greatest(part("toxic", toxic_share) + part("ordinary", 1 - toxic_share), F.lit(0.0)))
     bound = BOUND * math.sqrt(2 * math.log(max(counts.count(), 2)))
-    rows = counts.where(F.col("toxic") > n * toxic_share).select("gram", worth.alias("worth")).where(F.col("worth") >= bound).collect()
+    often = counts.where(F.col("toxic") > n * toxic_share).select("gram", worth.alias("worth"))
+    best = often.agg(F.max("worth")).first()[0] or 0.0
+    rows = often.where(F.col("worth") >= min(bound, best)).collect()
     return {bytes(g): w for g, w in rows}
 
 
