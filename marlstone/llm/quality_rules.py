@@ -65,11 +65,13 @@ def fit(marked: DataFrame, buckets: int = BUCKETS) -> list[int]:
 
 def calibrated(marked: DataFrame, weights: list[int]) -> int:
     """The threshold that the scores of trusted documents set."""
-    scored = measures(marked.where(F.col("trusted").isNotNull()), "trusted").where(~base_failed()).select("trusted", F.floor(score(F.col("ws"), weights) / BIN).alias("bin"))
-    rows = scored.groupBy("trusted", "bin").count().collect()  # at most a row for each bin of the score's range
-    held = [(r["bin"], r["count"]) for r in rows if r["trusted"]]
+    def scores(rows: DataFrame) -> list[tuple[int, int]]:
+        scored = measures(rows).where(~base_failed()).select(F.floor(score(F.col("ws"), weights) / BIN).alias("bin"))
+        return [tuple(r) for r in scored.groupBy("bin").count().collect()]  # at most a row for each bin of the score's range
+
+    held = scores(marked.where("trusted"))
     if sum(n for _, n in held) < LEAST:
-        held = [(r["bin"], r["count"]) for r in rows]
+        held = scores(marked.where("trusted is not null"))
     if not held:
         return -(1 << 62)
 
@@ -117,14 +119,13 @@ def repeated_words(ws: Column) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 3, covered(w)).otherwise(0)).cast("long")
 
 
-def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the kept columns, words, and the base counts of each document."""
+def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, words, and the base counts of each document."""
     text = text_of(docs)
-    base = docs.select(docs["doc_id"].alias("doc_id"), *keep, text.alias("text"), words(text).alias("ws"))
+    base = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), words(text).alias("ws"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return base.select(
         "doc_id",
-        *keep,
         "ws",
         F.size("ws").cast("long").alias("n_words"),
         F.aggregate("ws", F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)).alias("word_chars"),
