@@ -66,8 +66,9 @@ def fit(marked: DataFrame, buckets: int = BUCKETS) -> list[int]:
 def calibrated(marked: DataFrame, weights: list[int]) -> int:
     """The threshold that the scores of trusted documents set."""
     def scores(rows: DataFrame) -> list[tuple[int, int]]:
-        scored = measures(rows).where(~base_failed()).select(F.floor(score(F.col("ws"), weights) / BIN).alias("bin"))
-        return [tuple(r) for r in scored.groupBy("bin").count().collect()]  # at most a row for each bin of the score's range
+        # no filter on the measures: it would be pushed below the join that finds the rows, and run over all texts
+        scored = measures(rows).select(F.when(~base_failed(), F.floor(score(F.col("ws"), weights) / BIN)).alias("bin"))
+        return [tuple(r) for r in scored.groupBy("bin").count().collect() if r[0] is not None]  # at most a row for each bin
 
     held = scores(marked.where("trusted"))
     if sum(n for _, n in held) < LEAST:
