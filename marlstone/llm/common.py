@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import shared_dir
+
 #: A word is a run of characters other than space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast; above it joins shuffle.
@@ -46,3 +50,27 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the one all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """df as a Parquet table at a new place, read back: rows and their ids stay as they are whatever executor is lost."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Takes away a table of an earlier round, through whatever file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def literals(values: list, kind: str) -> Column:
+    """The values as one array constant of a plan (strings must not hold commas)."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")

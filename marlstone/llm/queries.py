@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, hmm, licenses, mixing, quality_pu, quality_rules, simhash, syncmers, toxicity, warc
+from marlstone.llm import bpe, clusters, hmm, licenses, mixing, quality_pu, quality_rules, sharding, simhash, syncmers, toxicity, vector_codes, warc
 from marlstone.llm.common import documents, labels
 
 
@@ -48,6 +48,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm, op2_bpe, op3_quality_pu, op4_warc, op5_simhash, op6_syncmers, op7_toxicity, op8_licenses, op9_quality_rules, op10_mixing)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
 
-ORACLE_SQL = {"op8_licenses": licenses.oracle_sql()}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hmm, op2_bpe, op3_quality_pu, op4_warc, op5_simhash, op6_syncmers, op7_toxicity, op8_licenses, op9_quality_rules, op10_mixing, op11_sharding, op12_vector_codes, op13_clusters)}
+
+ORACLE_SQL = {"op8_licenses": licenses.oracle_sql(), "op12_vector_codes": vector_codes.oracle_sql(), "op13_clusters": clusters.oracle_sql()}
