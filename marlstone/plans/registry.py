@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, extraction, graph, graph_views, joins, knowledge, lanes, records, revisions, scalars, scans, search, stores, streams, windows  # noqa: F401
+from marlstone.plans import aggregates, dataflow, extraction, graph, graph_views, joins, knowledge, lanes, records, revisions, scalars, scans, search, stores, streams, windows  # noqa: F401
 from marlstone.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "search_exact"
