@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import cut
+from marlstone.session import Rounds
 
 STEP = "struct<kind:string,file_path:string,line:int,name:string,status:string,expression:string>"
 STATE = f"struct<held:array<string>,steps:array<{STEP}>,gaps:array<string>>"
@@ -128,12 +128,13 @@ def flows_over_calls(files: DataFrame, requests: DataFrame, edges: DataFrame, mo
     """
     nth = Window.partitionBy("from_file").orderBy("seq", "from_line", "to_file", "to_variable")
     targets = data_flows(files, edges.select(F.struct("to_file", "to_variable").alias("request_id"), F.col("to_file").alias("file_path"), F.col("to_variable").alias("variable")).distinct(), most)
-    ways = cut(
+    tables = Rounds(files.sparkSession, "flows")
+    ways = tables.keep(
         edges.withColumn("turn", F.row_number().over(nth) - 1)
         .join(targets.select("file_path", "variable", F.col("steps").alias("more"), F.col("gaps").alias("more_gaps")), (F.col("to_file") == F.col("file_path")) & (F.col("to_variable") == F.col("variable")), "left")
         .select("from_file", "turn", "from_line", "to_file", "to_variable", "status", "more", "more_gaps")
     )
-    now = cut(data_flows(files, requests, most).select("request_id", "file_path", "variable", "steps", "gaps", F.col("file_path").alias("at"), F.array().cast("array<string>").alias("been"), F.col("found").alias("open"), F.lit(False).alias("cut")))
+    now = tables.keep(data_flows(files, requests, most).select("request_id", "file_path", "variable", "steps", "gaps", F.col("file_path").alias("at"), F.array().cast("array<string>").alias("been"), F.col("found").alias("open"), F.lit(False).alias("cut")))
     for hop in range(hops + 1):
         going = now.where("open")
         if not going.limit(1).count():
@@ -148,7 +149,7 @@ def flows_over_calls(files: DataFrame, requests: DataFrame, edges: DataFrame, mo
         stays = lambda s: ~((s["file_path"] == F.col("from_file")) & (s["line"] == F.col("from_line")) & (s["status"] == "candidate"))
         place = F.concat("from_file", F.lit(":"), F.col("from_line").cast("string"))
         gap = F.when(F.col("from_file").isNull(), None).when(~verified, F.concat(F.lit("unverified inter-procedural edge at "), place)).when(~there, F.concat(F.lit("verified target source unavailable at "), "to_file"))
-        now = cut(
+        now = tables.keep(
             met.select(
                 "request_id", "file_path", "variable",
                 F.when(verified & there, F.concat(F.filter("steps", stays), F.array(call), F.col("more"))).otherwise(F.col("steps")).alias("steps"),

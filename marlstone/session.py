@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,5 +44,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the one all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, at: str) -> DataFrame:
+    """df as a Parquet table at a new place, read back. Loops of many rounds use it in place of cut: the planner sees the table's true
+    size, where that of a checkpoint is the estimate of the plan behind it, which grows with the square from round to round."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+class Rounds:
+    """Tables of one run of a loop, in a folder of its own."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.folder, self.n = new_folder(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return stored(df, f"{self.folder}/{self.n}")
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Takes away a table of an earlier round, through whatever file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
