@@ -29,8 +29,24 @@ def located(text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int,
         yield start, bytes_before, line
 
 
-def _found(files: DataFrame, needles: dict[str, list[int]]) -> DataFrame:
+def folded(text: str) -> str:
+    """Lower case, character by character, so that places stay: the few whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether neither neighbour is a letter, a digit or _."""
+    part = lambda c: c.isalnum() or c == "_"
+    return not (start and part(text[start - 1])) and not (end < len(text) and part(text[end]))
+
+
+def _found(files: DataFrame, needles: dict[str, list[int]], case_sensitive: bool = True, whole_word: bool = False) -> DataFrame:
     """HITS rows of one block of needles; the automaton reads each text once, however many needles there are."""
+    by_form: dict[str, list[int]] = {}
+    for needle, items in needles.items():
+        by_form.setdefault(needle if case_sensitive else folded(needle), []).extend(items)
+    needles = by_form
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -42,12 +58,13 @@ def _found(files: DataFrame, needles: dict[str, list[int]]) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
-                free, hits, counts = dict.fromkeys(needles, 0), [], {}
-                for end, needle in machine.iter(text):
+                free, hits, counts = {}, [], {}
+                for end, needle in machine.iter(text if case_sensitive else folded(text)):
                     start = end + 1 - len(needle)
-                    if start >= free[needle]:  # occurrences of one needle do not overlap, as a left-to-right search has them
+                    if start >= free.get(needle, 0):  # occurrences of one needle do not overlap, as a left-to-right search has them
                         free[needle] = end + 1
-                        hits.append((start, needle))
+                        if not whole_word or whole(text, start, end + 1):
+                            hits.append((start, needle))
                 if not hits:
                     continue
                 hits.sort()
@@ -61,15 +78,39 @@ def _found(files: DataFrame, needles: dict[str, list[int]]) -> DataFrame:
     return files.select(F.col("doc_id").cast("long"), "file_path", "text").where("text is not null").mapInArrow(run, HITS)
 
 
-def occurrences(files: DataFrame, needle: str) -> DataFrame:
+def verified(pairs: DataFrame, case_sensitive: bool = True, whole_word: bool = False) -> DataFrame:
+    """Hits of pairs (doc_id, file_path, text, item_id, needle), as `needles_found` gives them: every pair is looked at on the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, path, text, item, needle in zip(*(c.to_pylist() for c in batch.columns)):
+                hay, form = (text, needle) if case_sensitive else (folded(text), folded(needle))
+                at, hits = hay.find(form), []
+                while at >= 0:
+                    if not whole_word or whole(text, at, at + len(form)):
+                        hits.append((at, len(form)))
+                    at = hay.find(form, at + len(form))
+                rows += [(doc, path, item, k, *place) for k, place in enumerate(located(text, hits))]
+            if rows:
+                ints = [pa.int64(), pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ints)], names=["doc_id", "file_path", "item_id", "ordinal", "char_offset", "byte_offset", "line"])
+
+    wanted = pairs.where(F.col("text").isNotNull() & (F.length("needle") > 0)).select(F.col("doc_id").cast("long"), "file_path", "text", F.col("item_id").cast("long"), "needle")
+    return wanted.mapInArrow(run, HITS).select("item_id", "doc_id", "file_path", "ordinal", "char_offset", "byte_offset", "line")
+
+
+def occurrences(files: DataFrame, needle: str, case_sensitive: bool = True, whole_word: bool = False) -> DataFrame:
     """(doc_id, file_path, ordinal, char_offset, byte_offset, line): every non-overlapping occurrence, left to right.
-    Map-only: texts that hold the needle are read once where they are."""
+    Map-only: texts that hold the needle are read once where they are. Without case, characters are compared in lower
+    case; whole words have neither letter, digit nor _ beside them."""
     if not needle:
         raise ValueError("the needle is empty")
-    return _found(files.where(F.contains("text", F.lit(needle))), {needle: [0]}).drop("item_id")
+    near = files.where(F.contains("text", F.lit(needle))) if case_sensitive else files
+    return _found(near, {needle: [0]}, case_sensitive, whole_word).drop("item_id")
 
 
-def needles_found(files: DataFrame, needles: DataFrame) -> DataFrame:
+def needles_found(files: DataFrame, needles: DataFrame, case_sensitive: bool = True, whole_word: bool = False) -> DataFrame:
     """(item_id, doc_id, file_path, ordinal, char_offset, byte_offset, line) of every occurrence of each needle (item_id,
     needle) in each file; occurrences of one needle do not overlap. The needles are the stated query set: they go to the
     workers in blocks of BLOCK, the files stay in place. Needles that are null or empty have no occurrence."""
@@ -79,7 +120,7 @@ def needles_found(files: DataFrame, needles: DataFrame) -> DataFrame:
         block: dict[str, list[int]] = {}
         for item, needle in wanted[at : at + BLOCK]:
             block.setdefault(needle, []).append(item)
-        part = _found(files if block else files.limit(0), block or {"-": []})
+        part = _found(files if block else files.limit(0), block or {"-": []}, case_sensitive, whole_word)
         out = part if out is None else out.unionByName(part)
     return out.select("item_id", "doc_id", "file_path", "ordinal", "char_offset", "byte_offset", "line")
 

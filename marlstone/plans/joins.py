@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import revisions as R
+from marlstone.operators import trigrams as T
 from marlstone.plans.base import query, table
 from marlstone.sources.views import FILES_SQL, files
+from marlstone.session import new_folder
 
 
 @query(f"WITH {FILES_SQL} SELECT f.doc_id, f.file_path, sha256(f.text) AS content_hash, coalesce(CASE WHEN quality = 0 THEN 'generated' END, 'source') AS classification FROM files f LEFT JOIN labels l ON f.doc_id = l.doc_id")
@@ -93,13 +95,12 @@ def anti_backfill(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(text, 'lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'lic') AND contains(lower(text), 'ice') AND contains(lower(text), 'cen') AND contains(lower(text), 'ens') AND contains(lower(text), 'nse')")
 def semi_trigram(spark, sf_dir):
-    """Texts that hold every trigram of a needle, from exploded trigrams."""
-    want = ["lic", "ice", "cen", "ens", "nse"]
+    """Texts that hold every trigram of a needle, from stored postings."""
     d = table(spark, sf_dir, "documents")
-    has = d.select("doc_id", F.explode(F.filter(F.array(*[F.when(F.contains("text", F.lit(g)), F.lit(g)) for g in want]), lambda g: g.isNotNull())).alias("gram"))
-    all_of = has.groupBy("doc_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(want))
+    index = T.build(d, new_folder(spark, "trigrams"))
+    all_of = T.candidates(index, T.plan(index, spark.createDataFrame([(0, "license")], "item_id long, needle string"), rarest=None))
     return d.select("doc_id").join(all_of, "doc_id", "left_semi")
 
 

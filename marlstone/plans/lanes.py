@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import wildcard
 from marlstone.operators import search as S
+from marlstone.operators import trigrams as T
 from marlstone.plans.base import query, table
 from marlstone.plans.search import TERMS_SQL, occurrences_sql
 from marlstone.sources.views import FILES_SQL, NODES_SQL, files, nodes
+from marlstone.session import new_folder
 
 
 @query(f"SELECT doc_id, ordinal FROM ({occurrences_sql('the')}) ORDER BY doc_id, ordinal LIMIT 5001")
@@ -18,16 +20,41 @@ def search_cap(spark, sf_dir):
     return S.occurrences(files(spark, sf_dir), "the").select("doc_id", "ordinal").orderBy("doc_id", "ordinal").limit(5001)
 
 
-GRAMS = [w[i : i + 3] for w in ["license"] for i in range(len(w) - 2)]
+NEEDLES = ["license", "the Art", "of", "zq!zq"]
 
 
-@query(f"WITH {FILES_SQL} SELECT doc_id, contains(text, 'license') AS verified FROM files WHERE " + " AND ".join(f"contains(text, '{g}')" for g in GRAMS))
+def has_grams(needle: str) -> str:
+    return " AND ".join(f"contains(lower(text), '{g}')" for g in sorted({needle.lower()[i : i + 3] for i in range(len(needle) - 2)})) or "true"
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS item_id, doc_id, contains(text, '{n}') AS verified FROM documents WHERE {has_grams(n)}" for i, n in enumerate(NEEDLES) if len(n) > 2))
 def search_trigram_prefilter(spark, sf_dir):
-    """Files that hold every trigram of the needle, and whether they hold the needle."""
-    out = files(spark, sf_dir)
-    for g in GRAMS:
-        out = out.where(F.contains("text", F.lit(g)))
-    return out.select("doc_id", F.contains("text", F.lit("license")).alias("verified"))
+    """Files in the postings of every trigram of each needle, and whether they hold the needle."""
+    docs = files(spark, sf_dir)
+    index = T.build(docs, new_folder(spark, "trigrams"))
+    found = T.candidates(index, T.plan(index, _needles(spark), rarest=None))
+    return found.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", F.contains("text", F.col("needle")).alias("verified"))
+
+
+def words_sql(i: int, needle: str) -> str:
+    """Whole words without case, as pieces between occurrences."""
+    edge = "regexp_matches({}, '[\\p{{L}}\\p{{N}}_]')".format
+    low = needle.lower()
+    before, after = f"CASE WHEN parts[k] <> '' THEN right(parts[k], 1) WHEN k > 1 THEN '{low[-1]}' ELSE '' END", f"CASE WHEN parts[k + 1] <> '' THEN left(parts[k + 1], 1) WHEN k + 1 < len(parts) THEN '{low[0]}' ELSE '' END"
+    return f"SELECT {i}::BIGINT AS item_id, doc_id, count(*) AS hits, min(chars)::BIGINT AS first FROM (SELECT doc_id, k, {before} AS b, {after} AS a, length(array_to_string(parts[1:k], '{low}')) AS chars FROM (SELECT doc_id, parts, unnest(range(1, len(parts)::BIGINT)) AS k FROM (SELECT doc_id, string_split(lower(text), '{low}') AS parts FROM documents WHERE contains(lower(text), '{low}')))) WHERE NOT {edge('a')} AND NOT {edge('b')} GROUP BY doc_id"
+
+
+@query(" UNION ALL ".join(words_sql(i, n) for i, n in enumerate(NEEDLES)))
+def search_whole_word(spark, sf_dir):
+    """Whole-word hits without case by way of the index; a short needle goes to all files."""
+    docs = files(spark, sf_dir)
+    index = T.build(docs, new_folder(spark, "trigrams"))
+    hits = T.search(docs, index, _needles(spark), case_sensitive=False, whole_word=True)
+    return hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.min("char_offset").alias("first"))
+
+
+def _needles(spark):
+    return spark.createDataFrame(list(enumerate(NEEDLES)), "item_id long, needle string")
 
 
 @query(f"SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, p_name AS text FROM part) WHERE list_has_all({TERMS_SQL}, ['part', '7'])")
