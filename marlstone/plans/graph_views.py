@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import deployment
 from marlstone.operators import graph as G
 from marlstone.plans.base import query, table
 from marlstone.plans.graph import start
@@ -106,11 +107,15 @@ def graph_invalidation_closure(spark, sf_dir):
     return G.reach(edges(spark, sf_dir), start(spark, "region:0", "part:3"), 4, inbound=True).select("node_id")
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_name) = 'part 7' THEN 'verified' ELSE 'candidate' END AS proof FROM part WHERE contains(lower(p_name), 'part 7')")
+@query("""
+SELECT doc_id, name, CASE WHEN name = 'n77' THEN 'verified' ELSE 'candidate' END AS evidence FROM (
+  SELECT p_partkey AS doc_id, unnest(['n' || p_partkey % 100, 'n' || p_size, '${N' || p_size || '}']) AS name, unnest(['v', 'v', 'c']) AS status FROM part)
+WHERE status = 'c' OR contains(lower(name), 'n77') OR contains('n77', lower(name))""")
 def graph_blast_iac(spark, sf_dir):
-    """The name itself is verified, names that hold it are candidates."""
-    name = F.lower("p_name")
-    return table(spark, sf_dir, "part").where(F.contains(name, F.lit("part 7"))).select("p_partkey", F.when(name == "part 7", "verified").otherwise("candidate").alias("proof"))
+    """What a change of the object n77 touches in cluster files, one for each part."""
+    text = "concat('metadata:\n  name: n', p_partkey % 100, '\nspec:\n  - configMap: n', p_size, '\n  - name: ${N', p_size, '}')"
+    files = table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", "'k8s/app.yaml' AS file_path", f"{text} AS text")
+    return deployment.blast_radius(deployment.facts(files), "N77").select("doc_id", "name", "evidence")
 
 
 @query(f"WITH {EDGES_SQL} SELECT b.src || '>' || a.src || '>' || a.dst AS path FROM edges a JOIN edges b ON b.dst = a.src WHERE a.edge_type = 'defines' AND b.edge_type = 'defines' AND starts_with(a.dst, 'region:')")

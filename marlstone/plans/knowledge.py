@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import deployment as D
 from marlstone.operators import knowledge as K
 from marlstone.operators import symbols as Y
 from marlstone.plans.base import query, table
@@ -282,7 +283,7 @@ UNION ALL SELECT p_partkey, 1, 'service', 'Service', NULL, 'verified' FROM part
 UNION ALL SELECT p_partkey, 2, 'config', 'n' || p_partkey, 'references', 'verified' FROM part WHERE p_partkey % 3 = 2
 UNION ALL SELECT p_partkey, 3, 'secret_ref', 'token', 'references', 'verified' FROM part WHERE p_partkey % 3 = 2""")
 def ext_iac(spark, sf_dir):
-    return K.iac_facts(DEPLOY.df(spark, sf_dir))
+    return D.facts(DEPLOY.df(spark, sf_dir))
 
 
 CODE = View("part", "p_partkey AS doc_id", "concat('src/p', p_partkey, '.ts') AS file_path", "concat('export class P', p_partkey, ' {', chr(10), '  size(a: number) {', chr(10), '    return ', p_size, ';', chr(10), '  }', chr(10), '  size(b: string) {', chr(10), '  }', chr(10), '}', chr(10), 'function free', p_partkey, '() { return 1; }') AS text")

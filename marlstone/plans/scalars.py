@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.jsonpath import json_path
 from marlstone.plans.base import query, table
 
 
@@ -52,6 +53,19 @@ def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.get_json_object("props", "$.missing").isNull().alias("missing"))
 
 
+BODY = """concat('{"a": [{"k": ', event_id % 7, '}, {"k": ', user_id, CASE WHEN event_id % 3 = 0 THEN '}' ELSE '}, {"z": null}' END, '], "p": ', props, '}')"""
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR END AS last, CASE WHEN event_id % 3 > 0 THEN 'Key "k" not found' END AS last_error, '[' || event_id % 7 || ',' || user_id || ']' AS every, json_extract_string(props, '$.k') AS inner_k, 'Index 4 out of bounds' AS far_error FROM events""")
+def fn_jsonpath(spark, sf_dir):
+    """Paths from the end of a list, over all of it, into an object, and beyond it."""
+    body = table(spark, sf_dir, "events").select("event_id", F.expr(BODY).alias("body"))
+    of = lambda path: json_path(F.col("body"), path)
+    found = body.select("event_id", of("$.a[-1].k").alias("one"), of("$.a[*].k").alias("all"), of("$['p'].k").alias("p"), of("$.a[4]").alias("far"))
+    return found.select("event_id", F.col("one.value").alias("last"), F.col("one.error").alias("last_error"), F.col("all.value").alias("every"), F.col("p.value").alias("inner_k"), F.col("far.error").alias("far_error"))
+
+
 @query("SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey))[1] AS first, len(list(DISTINCT l_suppkey))::BIGINT AS n FROM lineitem GROUP BY l_orderkey")
 def fn_array(spark, sf_dir):
     a = F.array_sort(F.collect_set("l_suppkey"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.base import query, table
 from marlstone.streaming import events as E
+from marlstone.streaming.expiry import expired
 from marlstone.streaming.ledger import event_key, materialise
 from marlstone.streaming.tables import new_folder, read_stream
 
@@ -54,8 +55,13 @@ def stream_dedup(spark, sf_dir):
     return E.first_seen(e, "event_id", "1 day", new_folder(spark, "dedup")).select("event_id", "user_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)")
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n, max(ts) + INTERVAL 4 HOUR AS ended_at FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 4 HOUR < (SELECT max(ts) FROM events)""")
 def stream_ttl(spark, sf_dir):
-    """What has not expired 24 hours after it was noted, as of the newest event."""
-    e = table(spark, sf_dir, "events")
-    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("ts") + F.expr("INTERVAL 24 HOURS") > F.col("now")).select("event_id", "user_id")
+    """Sessions of users that expired: each event renews its user's for four hours; what is alive stays in the state."""
+    e = read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit("renew").alias("action"))
+    ended = expired(e, 4 * 3600, "0 seconds", new_folder(spark, "ttl"))
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return ended.select(F.col("key").alias("user_id"), at("first_at"), at("last_at"), "n", at("ended_at"))

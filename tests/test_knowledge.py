@@ -149,26 +149,6 @@ def test_resolve_imports(spark):
     assert rows(K.resolve_imports(imports, files), "spec", "target") == sorted(specs, key=repr)
 
 
-def test_iac_facts(spark):
-    files = spark.createDataFrame([
-        (1, "svc/Dockerfile", "FROM node:20 AS build # base\nEXPOSE 80\nCMD run"),
-        (2, "docker-compose.yml", "services:\n  web:\n    depends_on:\n      - db\n    volumes:\n      - ./x:/y\n    password: hunter2"),
-        (3, "k8s/app.yaml", "kind: Deployment\nmetadata:\n  name: app\n  secretName: ${S}"),
-        (4, "main.tf", 'resource "aws_s3" "logs" {'),
-        (5, ".github/workflows/ci.yml", "jobs:\n  test:\n"),
-        (6, "charts/a/t.yaml", "x: {{ .Values.image.tag }} {{ .Values.n }}"),
-        (7, "notes.txt", "FROM here EXPOSE 1"),
-    ], "doc_id long, file_path string, text string")
-    got = rows(K.iac_facts(files), "doc_id", "start_line", "kind", "name", "relation", "status")
-    assert got == sorted([
-        (1, 1, "docker_stage", "build", "runs", "verified"), (1, 2, "port", "80", "exposes", "verified"), (1, 3, "docker_stage", "CMD", "runs", "verified"),
-        (2, 2, "service", "web", None, "verified"), (2, 4, "service", "db", "depends_on", "verified"), (2, 6, "volume", "./x:/y", "mounts", "verified"), (2, 6, "service", ".", "depends_on", "verified"), (2, 7, "secret_ref", "password", "references", "verified"),
-        (3, 1, "deployment", "Deployment", None, "verified"), (3, 3, "config", "app", "references", "verified"), (3, 4, "secret_ref", "${S}", "references", "candidate"),
-        (4, 1, "terraform_resource", "aws_s3.logs", None, "verified"), (5, 2, "workflow_job", "test", None, "verified"),
-        (6, 1, "helm_value", "image.tag", "references", "candidate"), (6, 1, "helm_value", "n", "references", "candidate"),
-    ], key=repr)
-
-
 def test_symbols(spark):
     ts = "export class Ctrl {\n  get(a: number) {\n    return get(a);\n  }\n  get(b: string) {\n    return 1;\n  }\n}\nfunction helper(x) {\n  if (x) {\n    return 1;\n  }\n}\n"
     py = "class A:\n    def f(self):\n        return 1\n\ndef f():\n    return 2\n"
