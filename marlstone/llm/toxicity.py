@@ -14,8 +14,9 @@ greedily, best gain first, until TOXIC_BYTES are full. Plain cover on whole toxi
 texts share: see the README for figures, also of windows of several words.
 
 Fitting takes a bounded sample: at most TOXIC_ROWS toxic and ORDINARY_ROWS ordinary labelled documents (lowest hashes of
-doc_id) of at most SAMPLE_CHARS characters, outside the held-out fold; the first DICTIONARY_ROWS ordinary ones train the
-ordinary dictionary. Scoring is map-only over whole texts.
+doc_id) of any length, outside the held-out fold. Strings and statistics are counted over their whole texts; the first
+DICTIONARY_ROWS ordinary ones train the ordinary dictionary, each by EXCERPT characters at most, taken in runs of
+words from all over the text by their hash. Scoring is map-only over whole texts.
 
 Defined cases: null and empty texts have no window and get the score of an empty document; without labelled rows of both
 kinds every score is the share of toxic labels, or 0; repeated rows score alike; extra columns are not looked at.
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fold
 from marlstone.session import cut
 
-TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_ROWS, SAMPLE_CHARS = 4000, 6000, 2000, 10_000
+TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_ROWS, EXCERPT = 4000, 6000, 2000, 10_000
+#: Words of a run in an excerpt.
+RUN = 50
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
 #: Bytes of a string of the contrast, and what its root deviance must reach as a multiple of sqrt(2 ln of all strings).
@@ -58,6 +61,21 @@ def windows(text: str | None) -> list[bytes]:
     return [w.strip(OUTER) for w in (text or "").encode().lower().split()]
 
 
+def excerpt(text: str | None, most: int = EXCERPT) -> bytes:
+    """The windows between blanks, as training takes them: all of a text, or so many runs of it by lowest hash, in text order."""
+    ws = windows(text)
+    runs = [b" ".join(ws[i : i + RUN]) for i in range(0, len(ws), RUN)]
+    if sum(map(len, runs)) > most:
+        chosen, size = set(), 0
+        for h, i in sorted((hashlib.sha1(b"%d " % i + r).digest(), i) for i, r in enumerate(runs)):
+            size += len(runs[i]) + 1
+            if size > most and chosen:
+                break
+            chosen.add(i)
+        runs = [r[:most] for i, r in enumerate(runs) if i in chosen]
+    return b" " + b" ".join(runs) + b" "
+
+
 def grams(window: bytes) -> set[bytes]:
     """The strings of GRAM bytes within a window between blanks."""
     w = b" " + window + b" "
@@ -208,7 +226,7 @@ def contrast(sample: DataFrame, toxic_share: float) -> dict[bytes, float]:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """Dictionaries and calibration from the labelled sample, which stays with the workers.
 
-    Strings above the bound, the windows of toxic texts that hold one, DICTIONARY_ROWS ordinary texts and the statistics
+    Strings above the bound, the windows of toxic texts that hold one, excerpts of DICTIONARY_ROWS ordinary texts and the statistics
     of the sample's rows come to the driver; all are bounded by the sample.
     """
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
@@ -217,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     docs = docs.select("doc_id", "text")
     text = docs["text"].cast("string")
     # the ids are at most TOXIC_ROWS + ORDINARY_ROWS, so the texts stay where they are
-    sample = cut(docs.join(F.broadcast(kinds), docs["doc_id"] == kinds["chosen"]).where(F.length(text) <= SAMPLE_CHARS).select("kind", text.alias("text"), "chosen"))
+    sample = cut(docs.join(F.broadcast(kinds), docs["doc_id"] == kinds["chosen"]).select("kind", text.alias("text"), "chosen"))
     n = dict(sample.groupBy("kind").count().collect())
     if not n.get(1) or not n.get(0):
         return Model(prior=share)
@@ -229,8 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["window"])
 
     marked = sample.where("kind = 1").select("text").mapInArrow(candidates, "window binary").distinct().collect() if worth else []
-    some = sample.where("kind = 0").select("chosen", "text").orderBy(F.xxhash64("chosen"), "chosen", "text").limit(DICTIONARY_ROWS).collect()
-    model = Model(covered(sorted(bytes(r[0]) for r in marked), worth, TOXIC_BYTES), trained([b" " + b" ".join(windows(t)) + b" " for _, t in some], ORDINARY_BYTES), np.zeros(1), share)
+
+    def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([excerpt(t.as_py()) for t in batch.column(2)], pa.binary())], names=["h", "chosen", "part"])
+
+    # ids are put in order first, so that only the chosen texts are read and only their excerpts move
+    ids = sample.where("kind = 0").select(F.xxhash64("chosen").alias("h"), "chosen").distinct().orderBy("h", "chosen").limit(DICTIONARY_ROWS)
+    some = sorted((r[0], r[1], bytes(r[2])) for r in sample.where("kind = 0").join(F.broadcast(ids), "chosen").select("h", "chosen", "text").mapInArrow(excerpts, "h long, chosen long, part binary").dropDuplicates().collect())
+    model = Model(covered(sorted(bytes(r[0]) for r in marked), worth, TOXIC_BYTES), trained([t for _, _, t in some], ORDINARY_BYTES), np.zeros(1), share)
     del some
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

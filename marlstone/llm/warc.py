@@ -262,7 +262,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_mb: floa
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row of RECORD_SCHEMA for every record of the archives in the manifest (columns folder, path)."""
+    """A row of RECORD_SCHEMA for every record of the archives in the manifest (columns folder, path, records, bytes). An archive
+    that has another length, or gives another number of records, than was written is an error: a cut between two frames
+    looks like an end otherwise."""
     spark = manifest.sparkSession
     schema = T._parse_datatype_string(RECORD_SCHEMA) if payloads else T._parse_datatype_string(RECORD_SCHEMA.rpartition(",")[0])
 
@@ -271,21 +273,27 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
         types = [(f.name, {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema]
         for batch in batches:
-            for folder, path in zip(*(c.to_pylist() for c in batch.columns)):
+            for folder, path, records, length in zip(*(c.to_pylist() for c in batch.columns)):
                 store, _ = fs.FileSystem.from_uri(folder)
-                rows, size = [], 0
+                there = store.get_file_info(path).size
+                if there != length:
+                    raise WarcError(f"{path} has {there} bytes, {length} were written")
+                rows, size, seen = [], 0, 0
                 with store.open_input_stream(path, compression=None) as f:
                     for record in frames(f):
+                        seen += 1
                         rows.append(parse_record(record)[: len(types)])
                         size += len(record) if payloads else 300
                         if size >= 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
                             rows, size = [], 0
+                if seen != records:
+                    raise WarcError(f"{path} gave {seen} records, {records} were written")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("folder", "path").repartition(parts, "path").mapInArrow(run, schema)
+    return manifest.select("folder", "path", "records", "bytes").repartition(parts, "path").mapInArrow(run, schema)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

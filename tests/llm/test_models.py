@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from marlstone.llm import hmm, quality_pu, toxicity
 
 
@@ -99,6 +101,15 @@ def test_language_model_odd_rows(odd, clashing, empty):
     assert hmm.score(clashing).count() == odd.count()
 
 
+def test_excerpts():
+    assert toxicity.excerpt(None) == b"  " and toxicity.excerpt("A, b c") == b" a b c "
+    text = " ".join(f"w{i}" for i in range(40_000))
+    part = toxicity.excerpt(text)
+    places = [int(w[1:]) for w in part.split()]
+    assert len(part) <= toxicity.EXCERPT + 2 and places == sorted(places) and places[0] < 10_000 and places[-1] > 30_000
+    assert part == toxicity.excerpt(text) and len(toxicity.excerpt("x" * 50_000)) == toxicity.EXCERPT + 2
+
+
 def toxic_corpus(table, marks):
     rng = np.random.default_rng(4)
     common = [f"{a}{b}" for a in ("lor", "sem", "tat", "vel", "num") for b in ("an", "is", "orum", "ibus", "et")]
@@ -124,9 +135,12 @@ def test_toxicity(table, marks):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
-def test_toxicity_held_out(spark):
+@pytest.mark.parametrize("filler", ["", " plain words about the river and the old town" * 250])
+def test_toxicity_held_out(spark, filler):
+    """Labelled rows count whatever their length: with filler every text is over 11,000 characters."""
     at = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    docs = docs.withColumn("text", F.concat("text", F.lit(filler)))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [r for r in toxicity.classify(docs, labels).collect() if r.held_out and r.doc_id in truth]
     toxic, clean = ([r.predicted for r in rows if truth[r.doc_id] == k] for k in (1, 0))

@@ -37,6 +37,26 @@ def test_payloads_come_back(pages):
     assert rows and all(bytes(r.payload).decode() == html[r.page_id] for r in rows)
 
 
+@pytest.mark.parametrize("change", [lambda r: (r["records"], r["bytes"] + 1), lambda r: (r["records"] - 1, r["bytes"])])
+def test_archives_that_lost_something(pages, change):
+    spark = pages.sparkSession
+    manifest = warc.write_archives(pages)
+    rows = [(r.path, *change(r), r.folder) for r in manifest.collect()]
+    with pytest.raises(Exception, match="were written"):
+        warc.read_archives(spark.createDataFrame(rows, manifest.schema)).count()
+
+
+def test_a_cut_between_frames_is_seen(pages):
+    manifest = warc.write_archives(pages.where("page_id < 40").coalesce(1))
+    r = manifest.first()
+    with open(r.path, "rb") as f:
+        data = f.read()
+    with open(r.path, "wb") as f:
+        f.write(data[: data.rindex(b"\x28\xb5\x2f\xfd")])
+    with pytest.raises(Exception, match="were written"):
+        warc.read_archives(manifest).count()
+
+
 def test_smaller_payloads_are_all_responses(pages):
     rows = warc.read_archives(warc.write_archives(pages, least_bytes=1000), payloads=False).collect()
     assert {r.record_type for r in rows} == {"response"}
