@@ -6,8 +6,12 @@ are joined on those keys, each pair is verified by its Hamming distance, and the
 
 The pipeline's stage (`keep_one_similar`) removes texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
 more. At 0.8 two 64-bit fingerprints differ in some 10 bits, which no choice of blocks finds at a bearable number of keys,
-so there the blocks' pairs are joined by others: texts that share one of BANDS keys of ROWS minimum hashes each are
-compared with the least and the greatest text of the key. Every pair, of either kind, is verified on the whole sets.
+so there the blocks' pairs are joined by others, of texts that share one of BANDS keys of ROWS minimum hashes each. Every
+pair, of either kind, is verified on the whole sets. Texts first meet the least text of each key they have; then, as long
+as a key has texts of several classes, those outside its largest class meet all others of the key that are not in their
+own, at first a few of each class and then every one. So in the end any two texts that share a key are of one class or were
+compared, and a key whose texts are alike is never squared. A sketch of one byte a minimum hash lets a pair through if at
+least LIKE bytes agree; a pair at 0.8 fails that in less than one of a million cases.
 
 With 6 blocks and distance 3 a key holds 32 or so bits: chance pairs stay rare where single 16-bit blocks would pair
 a large part of the table with itself. Copies collapse to one fingerprint first, whatever their number.
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from marlstone.llm.components import components
-from marlstone.session import cut
+from marlstone.session import Rounds, cut
 
 SHINGLE, SEED, BLOCKS, DISTANCE = 3, 42, 6, 3
 #: Words of a shingle and least Jaccard similarity of near copies; keys of a text, and minimum hashes in each: a pair at
 #: 0.8 shares no key in (1 - 0.8^6)^24 = 0.07 % of cases.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
+#: Equal bytes of two sketches that a pair needs to be verified; texts of another class that one meets in a round of a few, and such rounds.
+LIKE, FEW, SOME_ROUNDS = 88, 16, 2
 #: Shingles whose bits are summed at a time.
 STEP = 65_536
 
@@ -119,14 +125,19 @@ def mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One key for each band, from `rows` minimum hashes; texts without shingles have the same keys."""
-    factors, shifts = mixers(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+def minimum_hashes(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The least value of each of n mixed orders; those of no hashes are all alike."""
+    factors, shifts = mixers(n)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), STEP // 16):
         mixed = hashes[at : at + STEP // 16, None] * factors + shifts
         mixed ^= mixed >> np.uint64(29)
         np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One key for each band, from `rows` minimum hashes."""
     return np.array([xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
 
 
@@ -138,34 +149,64 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, simhash, keys = [], [], []
+            whole, simhash, keys, sketch = [], [], [], []
             for t in batch.column(1):
                 parts = list(hash_parts(t.as_py(), shingle, SEED))
                 hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
                 whole.append(xxh64_intdigest(hashes.tobytes(), SEED))
                 simhash.append(majority(parts))
-                keys.append(band_keys(hashes))
+                least = minimum_hashes(hashes)
+                keys.append(band_keys(least))
+                sketch.append((least & np.uint64(255)).astype(np.uint8).tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(whole), signed(simhash), pa.array(keys, pa.list_(pa.int64()))], names=["row", "fingerprint", "simhash", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(whole), signed(simhash), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["row", "fingerprint", "simhash", "keys", "sketch"])
 
-    schema = source.select("row", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("simhash"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    schema = source.select("row", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("simhash"), F.array(F.lit(0).cast("long")).alias("keys"), F.lit(b"").alias("sketch")).schema
     marked = cut(source.mapInArrow(mark, schema))
-    sets = cut(marked.groupBy(F.col("fingerprint").alias("s")).agg(F.min("row").alias("lead"), F.min(F.col("row.doc_id").cast("long")).alias("first"), F.min("simhash").alias("fp"), F.any_value("keys").alias("keys")))
-    pairs = cut(_candidates(sets))
-    near = _verified(docs, sets, pairs, shingle, similarity)
-    found = components(near)
-    members = sets.join(found, sets["s"] == found["node"], "left").select("s", "first", F.coalesce("component", "s").alias("component"))
+    sets = cut(marked.groupBy(F.col("fingerprint").alias("s")).agg(F.min("row").alias("lead"), F.min(F.col("row.doc_id").cast("long")).alias("first"), F.min("simhash").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    tables = Rounds(docs.sparkSession, "similar")
+    keyed = sets.select("s", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
+    keyed = tables.keep(keyed.join(shared, ["band", "key"]))
+    verify = lambda pairs: tables.keep(_verified(docs, sets, tables.keep(_alike(sets, pairs)), shingle, similarity))
+    tried = tables.keep(_first_pairs(sets, keyed))
+    of = components(verify(tried)).withColumnRenamed("node", "s")
+    used, most, round_ = None, FEW, 0
+    while True:
+        named = tables.keep(keyed.select("band", "key", "s").join(of, "s", "left").select("band", "key", "s", F.coalesce("component", "s").alias("c")))
+        mixed = named.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
+        inside = tables.keep(named.join(mixed, ["band", "key"]))
+        largest = inside.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("at")).select("band", "key", F.col("at.c").alias("largest"))
+        outside = inside.join(largest, ["band", "key"]).where("c <> largest")
+        outside = outside if used is None else outside.join(used, ["band", "key", "s"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("s"))
+        pivots = tables.keep(outside.select("band", "key", "s", "c", nth.alias("nth")).where(F.col("nth") <= most).drop("nth"))
+        if not pivots.limit(1).count():
+            break
+        met = inside.select("band", "key", F.col("s").alias("t"), F.col("c").alias("d"))
+        whole = round_ >= SOME_ROUNDS
+        if not whole:
+            few = F.row_number().over(Window.partitionBy("band", "key", "d").orderBy(F.xxhash64("t", F.lit(round_))))
+            met = met.withColumn("nth", few).where(F.col("nth") <= FEW).drop("nth")
+        pairs = pivots.join(met, ["band", "key"]).where("c <> d").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+        pairs = tables.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        if whole:
+            # these have met all that share the key, so they are done with it whatever classes come to be
+            done = pivots.select("band", "key", "s")
+            used, most = done if used is None else used.unionByName(done), 2 * most
+        of = _merged(sets, of, verify(pairs), tables)
+        round_ += 1
+    members = sets.join(of, "s", "left").select("s", "first", F.coalesce("component", "s").alias("component"))
     least = members.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = members.join(least, "component").select("s", "component_id")
     return marked.join(ids, marked["fingerprint"] == ids["s"], "left").select("row", "fingerprint", "component_id")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): sets that share a band's key with its least or greatest one, or whose fingerprints are DISTANCE bits apart
-    or less. Ends of keys and equal fingerprints are found by partial sums, so no group is gathered."""
-    keyed = sets.select("s", F.posexplode("keys").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
-    stars = keyed.join(ends, ["band", "key"]).select("s", F.explode(F.array("low", "high")).alias("t"))
+def _first_pairs(sets: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(a, b): sets that share a band's key with its least one, or whose fingerprints are DISTANCE bits apart or less. Ends of
+    keys and equal fingerprints are found by partial sums, so no group is gathered."""
+    stars = keyed.select("s", F.col("low").alias("t"))
     by_fp = cut(sets.groupBy("fp").agg(F.min("s").alias("t")))
     same = sets.join(by_fp, "fp").select("s", "t")
     of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("t").alias(f"{c}_t"))
@@ -173,6 +214,26 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return stars.unionByName(same).unionByName(blocks).where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
+def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in LIKE bytes or more."""
+    of = lambda c: sets.select(F.col("s").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= LIKE, pa.bool_()))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
+def _merged(sets: DataFrame, of: DataFrame, near: DataFrame, tables: Rounds) -> DataFrame:
+    """(s, component) after more links: components of components."""
+    known = tables.keep(sets.select("s").join(of, "s", "left").select("s", F.coalesce("component", "s").alias("component")))
+    at = lambda c: known.select(F.col("s").alias(c), F.col("component").alias(f"{c}_at"))
+    joined = components(near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
+    return known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("s", F.coalesce("new", "component").alias("component"))
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have the Jaccard similarity."""
     named = lambda c: [F.coalesce(c("doc_id").cast("long"), F.lit(0)).alias("k"), c("doc_id").isNull().alias("none"), c("tie").alias("tie")]

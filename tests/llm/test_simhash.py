@@ -111,6 +111,41 @@ def test_near_copies_at_five_words(spark):
     assert found == {i: find(i) for i in ids}
 
 
+def classes_by_force(texts):
+    """Least id reachable over pairs at 0.8 or more."""
+    sets = {i: set(simhash.shingle_hashes(t).tolist()) for i, t in texts}
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed, changes, length", [(1, (2, 6), 200), (2, (3, 9), 200), (3, (1, 3), 60)])
+def test_families_lose_no_link(table, seed, changes, length):
+    """Families of texts that differ from one another in a few words, at similarities on both sides of the bound."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{int(x)}" for x in rng.integers(0, 5000, length)]
+        for k in range(30):
+            ws = list(base)
+            for at in rng.choice(length, int(rng.integers(*changes)), replace=False):
+                ws[int(at)] = f"new{int(rng.integers(1 << 30))}"
+            rows.append((1000 * family + k, " ".join(ws), "en", "s", 0))
+    docs = table(rows).withColumn("tie", F.xxhash64("text"))
+    found = {r["row"]["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+    want = classes_by_force([(r[0], r[1]) for r in rows])
+    assert len(set(want.values())) >= 8 and found == want
+
+
 def test_one_of_near_copies_stays(table, odd, clashing, empty):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :]), "en", "s", 0) for i in range(5, 300, 20)] + [(900, " ".join(reversed(words)), "en", "s", 0)]
