@@ -62,12 +62,16 @@ def resolved(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = No
     near = _two(near, "repo_id", "file_path", "name").select("repo_id", "file_path", "name", F.col("n").alias("near_n"), F.col("one").alias("near_one"), F.col("two").alias("near_two"))
     met = asked.join(own, ["repo_id", "file_path", "name"], "left").join(exact, ["repo_id", "raw_name"], "left").join(near, ["repo_id", "file_path", "name"], "left").join(everywhere, ["repo_id", "name"], "left").join(known, F.col("src") == F.col("symbol_id"), "left")
 
-    # the enclosing symbol itself is no candidate
+    if imports is None:
+        met = met.withColumn("seen", F.lit(False))
+    else:
+        met = met.join(reach.select("repo_id", "file_path", F.col("scope").alias("src_file"), F.lit(True).alias("seen")), ["repo_id", "file_path", "src_file"], "left")
+    # the enclosing symbol itself is no candidate, wherever it stands
     of_name = F.coalesce((F.col("src_repo") == F.col("repo_id")) & (F.col("src_name") == F.col("name")), F.lit(False))
-    in_file = of_name & F.coalesce(F.col("src_file") == F.col("file_path"), F.lit(False))
+    in_scope = of_name & (F.coalesce("seen", F.lit(False)) | F.coalesce(F.col("src_file") == F.col("file_path"), F.lit(False)))
     count = lambda c, holds: F.coalesce(c, F.lit(0)) - holds.cast("int")
     other = lambda a, b: F.when(F.col(a) == F.col("src"), F.col(b)).otherwise(F.col(a))
-    all_n, near_n = count(F.col("all_n"), of_name), count(F.col("near_n"), in_file)
+    all_n, near_n = count(F.col("all_n"), of_name), count(F.col("near_n"), in_scope)
     jsx = F.startswith("kind", F.lit("jsx"))
     local = (F.coalesce("own_n", F.lit(0)) == 1) & (F.col("own_one") != F.col("src"))
     owned = ((F.col("kind") == "call") & F.coalesce(F.col("receiver") != "", F.lit(False))) | (F.col("kind") == "type")

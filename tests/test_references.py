@@ -29,6 +29,7 @@ CASES = [  # file, kind, name, receiver, src; with imports: rung, dst; without
     (("a.ts", "call", "now", "Date", "a.run"), ("platform", None), ("platform", None)),
     (("d.ts", "call", "now", "Date.x", "b.get"), ("same_file", "d.now"), ("same_file", "d.now")),
     (("c.ts", "call", "profile", "this.p", "c.profile"), ("imported", "b.profile"), ("unique", "b.profile")),
+    (("a.ts", "call", "sign", None, "b.sign"), ("unknown", None), ("unknown", None)),
     (("a.ts", "call", "nothing", None, "a.run"), ("unknown", None), ("unknown", None)),
     (("a.ts", "call", "help", None, None), ("no_source", None), ("no_source", None)),
     (("e.ts", "jsx-component", "View", None, "a.run"), ("qualified", "c.View"), ("qualified", "c.View")),
@@ -50,4 +51,4 @@ def test_ladder(spark, scoped):
     assert all((r.method, r.confidence) == ("INFERRED", 0.5) for r in rows.values() if r.edge_type in ("renders", "invokes_dynamic") and r.dst)
     assert all((r.method, r.confidence) == ("EXTRACTED", None) for r in rows.values() if r.edge_type == "calls" and r.dst and r.rung != "guess")
     if scoped:
-        assert {(r.file_path, r["name"]) for r in R.second_pass(found, refs, imports).collect()} == {("a.ts", "nothing")}
+        assert {(r.file_path, r["name"]) for r in R.second_pass(found, refs, imports).collect()} == {("a.ts", "nothing"), ("a.ts", "sign")}
