@@ -7,11 +7,12 @@ frontier is written to the shared folder, so that plans stay short and a lost ex
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import cut
+from marlstone.session import Rounds, cut
 
 #: Methods that a confirmed edge may have.
 CONFIRMED = ("EXTRACTED", "ASSERTED")
@@ -48,17 +49,19 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = False
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 12) -> DataFrame:
-    """(step, node_id) of the shortest directed path; of equal paths the one whose parents are smallest, from the goal back."""
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """(step, node_id) of the shortest directed path, however long; of equal paths the one whose parents are smallest, from
+    the goal back. No path gives no row; a node is its own path. Null ends of edges lead nowhere."""
     spark = edges.sparkSession
-    step = cut(edges.select("src", "dst").distinct())
-    seen = cut(spark.createDataFrame([(start, None, 0)], "node_id string, parent string, depth long"))
+    tables = Rounds(spark, "path")
+    step = tables.keep(edges.select("src", "dst").where("dst is not null").distinct())
+    seen = tables.keep(spark.createDataFrame([(start, None, 0)], "node_id string, parent string, depth long"))
     frontier, found = seen, start == goal
-    for d in range(1, most + 1):
+    for d in count(1):
         if found:
             break
         new = frontier.join(step, frontier["node_id"] == step["src"]).groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
-        frontier = cut(new.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        frontier = tables.keep(new.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -219,12 +219,17 @@ def merge_evidence(documents: DataFrame, observations: DataFrame, packets: DataF
 
 
 def snapshot_chain(snapshots: DataFrame, start: str, most: int = 64) -> DataFrame:
-    """(snapshot_id, depth) from a snapshot down its bases (snapshot_id, base_snapshot_id); a step is one lookup."""
+    """(snapshot_id, depth) from a snapshot down its bases (snapshot_id, base_snapshot_id); a step is one lookup. A chain that comes
+    back to itself, or has more than `most` snapshots, is an error: what it shows would be wrong without a word."""
     chain = [(start, 0)]
-    while len(chain) < most:
+    while True:
         row = snapshots.where(F.col("snapshot_id") == chain[-1][0]).select("base_snapshot_id").first()
-        if row is None or row[0] is None or row[0] in {s for s, _ in chain}:
+        if row is None or row[0] is None:
             break
+        if row[0] in {s for s, _ in chain}:
+            raise ValueError(f"the bases of {start} come back to {row[0]}")
+        if len(chain) == most:
+            raise ValueError(f"{start} has more than {most} bases")
         chain.append((row[0], len(chain)))
     return snapshots.sparkSession.createDataFrame(chain, snapshots.select("snapshot_id", F.lit(0).alias("depth")).schema)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import knowledge as K
+from marlstone.operators.graph import shortest_path
 from marlstone.operators.symbols import definitions, symbols
 
 
@@ -167,3 +168,18 @@ def test_no_group_is_gathered():
     import inspect
 
     assert "collect_list" not in inspect.getsource(K) and F is not None
+
+
+def test_snapshot_chain_tells_of_cycles_and_depth(spark):
+    snaps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x")], "snapshot_id string, base_snapshot_id string")
+    assert rows(K.snapshot_chain(snaps, "a"), "snapshot_id", "depth") == [("a", 0), ("b", 1), ("c", 2)] == rows(K.snapshot_chain(snaps, "a", 3), "snapshot_id", "depth")
+    with pytest.raises(ValueError, match="come back"):
+        K.snapshot_chain(snaps, "x")
+    with pytest.raises(ValueError, match="more than"):
+        K.snapshot_chain(snaps, "a", 2)
+
+
+def test_long_path(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(15)] + [("n00", "n00"), ("n03", None)], "src string, dst string")
+    assert [r.node_id for r in shortest_path(edges, "n00", "n15").orderBy("step").collect()] == [f"n{i:02}" for i in range(16)]
+    assert shortest_path(edges, "n05", "n00").count() == 0
