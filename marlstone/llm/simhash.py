@@ -42,6 +42,8 @@ SHINGLE, SEED, BLOCKS, DISTANCE = 3, 42, 6, 3
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 #: Equal bytes of two sketches that a pair needs to be verified; texts of another class that one meets in a round of a few, and such rounds.
 LIKE, FEW, SOME_ROUNDS = 88, 16, 2
+#: Texts of a key that meet the others in one round; twice as many in each round after the first whole one.
+PIVOTS = 64
 #: Shingles whose bits are summed at a time.
 STEP = 65_536
 
@@ -168,10 +170,15 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
     keyed = sets.select("s", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
     keyed = tables.keep(keyed.join(shared, ["band", "key"]))
-    verify = lambda pairs: tables.keep(_verified(docs, sets, tables.keep(_alike(sets, pairs)), shingle, similarity))
     tried = tables.keep(_first_pairs(sets, keyed))
+    # whole sets are made once, for all that may be compared with another
+    ends = [keyed.select("s"), tried.select(F.col("a").alias("s")), tried.select(F.col("b").alias("s"))]
+    paired = tables.keep(ends[0].unionAll(ends[1]).unionAll(ends[2]).distinct())
+    whole_sets = tables.keep(_hash_sets(docs, sets.join(paired, "s"), shingle))
+    sketches = tables.keep(sets.select("s", "sketch").join(paired, "s"))
+    verify = lambda pairs: tables.keep(_verified(whole_sets, tables.keep(_alike(sketches, pairs)), similarity))
     of = components(verify(tried)).withColumnRenamed("node", "s")
-    used, most, round_ = None, FEW, 0
+    used, most, round_ = None, PIVOTS, 0
     while True:
         named = tables.keep(keyed.select("band", "key", "s").join(of, "s", "left").select("band", "key", "s", F.coalesce("component", "s").alias("c")))
         mixed = named.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
@@ -195,7 +202,7 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
             # these have met all that share the key, so they are done with it whatever classes come to be
             done = pivots.select("band", "key", "s")
             used, most = done if used is None else used.unionByName(done), 2 * most
-        of = _merged(sets, of, verify(pairs), tables)
+        of = _merged(paired, of, verify(pairs), tables)
         round_ += 1
     members = sets.join(of, "s", "left").select("s", "first", F.coalesce("component", "s").alias("component"))
     least = members.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -234,17 +241,22 @@ def _merged(sets: DataFrame, of: DataFrame, near: DataFrame, tables: Rounds) ->
     return known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("s", F.coalesce("new", "component").alias("component"))
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the Jaccard similarity."""
+def _hash_sets(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """(s, hashes): the whole sets of these, from the texts of their leads; texts move here and nowhere else."""
     named = lambda c: [F.coalesce(c("doc_id").cast("long"), F.lit(0)).alias("k"), c("doc_id").isNull().alias("none"), c("tie").alias("tie")]
-    needed = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
-    leads = sets.join(needed, "s").select("s", *named(lambda c: F.col(f"lead.{c}")))
+    leads = sets.select("s", *named(lambda c: F.col(f"lead.{c}")))
     texts = docs.select(*named(lambda c: docs[c]), docs["text"].cast("string").alias("text")).join(leads, ["k", "none", "tie"]).select("s", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["s", "hashes"])
 
+    return texts.mapInArrow(hashes, "s long, hashes binary").dropDuplicates(["s"])
+
+
+def _verified(whole: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -254,7 +266,6 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int,
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = cut(texts.mapInArrow(hashes, "s long, hashes binary").dropDuplicates(["s"]))
     of = lambda c: whole.select(F.col("s").alias(c), F.col("hashes").alias(f"{c}_hashes"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(near, "a long, b long")
 
