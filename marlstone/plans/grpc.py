@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from marlstone.operators import grpc
 from marlstone.plans.base import query, table
 

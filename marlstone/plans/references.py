@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marlstone.operators import references as R
-from marlstone.plans.base import query, table
+from marlstone.plans.base import query
 from marlstone.plans.knowledge import View
 
 SYMBOLS = View("part", "concat('k', p_partkey) AS symbol_id", "'r' AS repo_id", "concat('f', p_partkey % 50) AS file_path", "concat(CASE WHEN p_partkey % 3 = 0 THEN 'N.s' ELSE 'D.s' END, floor(p_partkey / 3)::INT) AS qualified_name", "concat('s', floor(p_partkey / 3)::INT) AS name")
