@@ -49,6 +49,22 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = False
     return seen
 
 
+def reach_upwards(members: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(node, depth): as `reach`, over the edges from each member (node, group columns) of a group to those of a greater node. The
+    edges, which grow with the square of a group, are never built: who is above any of a step's nodes is above the least of them."""
+    tables, groups = Rounds(members.sparkSession, "upwards"), [c for c in members.columns if c != "node"]
+    members = tables.keep(members.dropna().distinct())
+    seen = frontier = tables.keep(starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    for d in range(1, depth + 1):
+        least = members.join(frontier.select("node"), "node", "left_semi").groupBy(*groups).agg(F.min("node").alias("least"))
+        new = members.join(least, groups).where("node > least").select("node").distinct()
+        frontier = tables.keep(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(step, node_id) of the shortest directed path, however long; of equal paths the one whose parents are smallest, from
     the goal back. No path gives no row; a node is its own path. Null ends of edges lead nowhere."""

@@ -27,13 +27,13 @@ PART = "p_partkey long, p_name string, p_brand string, p_size int"
 ODD = [(7, "a", "x", 1), (8, "a", "x", 1), (8, "a", "y", 2), (9, "a", None, 1), (9, "b", "y", 2), (10, None, "y", 2), (None, "a", "x", 1), (3, "a", "x", 1), (8, "a", "x", 1), (12, "b", "y", None), (11, "c", "x", 1), (13, "c", None, 2), (14, "c", None, 2), (5, "b", "y", 2)]
 
 
-@pytest.mark.parametrize("name", ["graph_compare_branches"])
+@pytest.mark.parametrize("name", ["graph_compare_branches", "graph_pkg_deps"])
 def test_odd_parts(spark, tmp_path, name):
     got, want, _ = both(spark, tmp_path, name, [("part", PART, ODD)])
     assert got == want and len(got) > 3
 
 
-@pytest.mark.parametrize("name", ["graph_compare_branches"])
+@pytest.mark.parametrize("name", ["graph_compare_branches", "graph_pkg_deps"])
 def test_one_large_group(spark, tmp_path, name):
     n = 60_000
     spark.range(n).selectExpr("id AS p_partkey", "'a' AS p_name", "'x' AS p_brand", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
