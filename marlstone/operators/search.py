@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,18 +174,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(unit(a), unit(b)), F.lit(0.0))
 
 
+def _by_length(vectors: list) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Places and unit vectors by number of components; null vectors, ones with null components and zero vectors are left out."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) and not any(x is None for x in v):
+            places.setdefault(len(v), []).append(i)
+    at, units = {}, {}
+    for n, rows in places.items():
+        m = np.array([vectors[i] for i in rows], np.float64)
+        norm = np.sqrt((m * m).sum(axis=1))
+        at[n], units[n] = np.array(rows)[norm != 0], m[norm != 0] / norm[norm != 0, None]
+    return at, units
+
+
+def _best(asked: list[tuple], k: int, some: int = 500):
+    """Per task, the k best rows (query_id, vec_id, cosine) of every query; queries are multiplied with a batch some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [(np.array([r[0] for r in part], np.int64), _by_length([r[1] for r in part])) for part in (asked[i : i + some] for i in range(0, len(asked), some))]
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in blocks]  # place of the query, vector, cosine
+        least = [np.full(len(ids), -np.inf) for ids, _ in blocks]
+        for batch in batches:
+            vecs = batch.column(0).to_numpy(zero_copy_only=False)
+            at, units = _by_length(batch.column(1).to_pylist())
+            for b, (ids, (q_at, q_units)) in enumerate(blocks):
+                cosine = np.zeros((len(ids), len(vecs)))
+                for n in q_at.keys() & at.keys():
+                    cosine[np.ix_(q_at[n], at[n])] = q_units[n] @ units[n].T
+                # compared as they are ranked: rounded, not a number before all numbers
+                key = np.where(np.isnan(cosine), np.inf, np.round(cosine, 6))
+                key[ids[:, None] == vecs[None, :]] = -np.inf
+                if len(vecs) > k:
+                    least[b] = np.maximum(least[b], np.partition(key, -k, axis=1)[:, -k])
+                q, v = np.nonzero((key >= least[b][:, None]) & (key > -np.inf))
+                q, vec, found = (np.concatenate(x) for x in zip(held[b], (q, vecs[v], cosine[q, v])))
+                rank = np.where(np.isnan(found), np.inf, np.round(found, 6))
+                order = np.lexsort((vec, -rank, q))
+                q, vec, found, rank = q[order], vec[order], found[order], rank[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                least[b][q[nth == k - 1]] = rank[nth == k - 1]
+                held[b] = q[nth < k], vec[nth < k], found[nth < k]
+        for (ids, _), (q, vec, found) in zip(blocks, held):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(vec, pa.int64()), pa.array(found, pa.float64())], names=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, cosine, rank) of the k nearest vectors to each query vector; ties by id. Vectors are made unit
-    length once. The query set is counted and goes to the executors in blocks of at most `block` vectors; each keeps its k
-    best of every query before any row moves."""
-    units = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    asked = queries.select("query_id", unit(F.col("query")).alias("q"))
+    """(query_id, vec_id, cosine, rank) of the k nearest vectors to each query vector; ties by id. The query set is counted and
+    goes to the executors in blocks of about `block` vectors; each task multiplies them with its batches of vectors and keeps its k
+    best of every query before any row moves. Null, zero and unequally long vectors have cosine 0; rows without id are left out."""
+    units = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"))
     parts = max(1, -(-asked.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     out = None
     for part in range(parts):
         some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        scored = units.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(F.coalesce(dot(F.col("v"), F.col("q")), F.lit(0.0)), 6).alias("cosine"))
+        scored = units.mapInArrow(_best([tuple(r) for r in some.collect()], k), "query_id long, vec_id long, cosine double").withColumn("cosine", F.round("cosine", 6))
         best = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
