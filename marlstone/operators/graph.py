@@ -36,13 +36,14 @@ def neighbours(edges: DataFrame, node: str, inbound: bool, types: Sequence[str]
 def reach(edges: DataFrame, starts: DataFrame, depth: int, inbound: bool = False) -> DataFrame:
     """(node_id, depth): nodes reached from starts (node_id) within `depth` steps, at their least depth; starts are 0."""
     here, there = ("dst", "src") if inbound else ("src", "dst")
-    # derived once, however many steps there are
-    step = cut(edges.select(F.col(here).alias("at"), F.col(there).alias("to")).distinct())
-    seen = cut(starts.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long")))
+    # derived once, however many steps there are; repeated edges stay, only the few nodes that a step reaches are made distinct
+    tables = Rounds(edges.sparkSession, "reach")
+    step = tables.keep(edges.select(F.col(here).alias("at"), F.col(there).alias("to")))
+    seen = tables.keep(starts.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = seen
     for d in range(1, depth + 1):
         new = frontier.join(step, frontier["node_id"] == step["at"]).select(F.col("to").alias("node_id")).distinct()
-        frontier = cut(new.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        frontier = tables.keep(new.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -70,7 +71,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     the goal back. No path gives no row; a node is its own path. Null ends of edges lead nowhere."""
     spark = edges.sparkSession
     tables = Rounds(spark, "path")
-    step = tables.keep(edges.select("src", "dst").where("dst is not null").distinct())
+    step = tables.keep(edges.select("src", "dst").where("dst is not null"))
     seen = tables.keep(spark.createDataFrame([(start, None, 0)], "node_id string, parent string, depth long"))
     frontier, found = seen, start == goal
     for d in count(1):

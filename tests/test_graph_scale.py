@@ -5,7 +5,9 @@ import time
 import duckdb
 import pytest
 
+from marlstone.operators import graph as G
 from marlstone.plans import registry
+from marlstone.session import spread
 
 
 def both(spark, tmp_path, name, tables):
@@ -41,3 +43,22 @@ def test_one_large_group(spark, tmp_path, name):
     got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
     assert time.perf_counter() - began < 25
     assert got == [("a", True, n * (n - 1) // 2)] if name == "graph_compare_branches" else sorted(got) == sorted([("7", 0)] + [(str(i), 1) for i in range(8, n)])
+
+
+def test_spread_by_rows(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS a", "id AS b")
+    assert spread(df, 1000, "a", each=100).rdd.getNumPartitions() == 10
+    assert spread(df, 1000, "a", each=1000).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert spread(df, 1000, "a", each=100).groupBy("a").count().count() == 10
+
+
+def test_edges_are_not_made_distinct(spark, monkeypatch):
+    """Repeated edges give the same reach and path; no table of theirs is shuffled as a whole."""
+    seen = []
+    monkeypatch.setattr(G.Rounds, "keep", lambda self, df, keep=G.Rounds.keep: (seen.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df))[1])
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "c"), ("c", "a"), (None, "b"), ("c", None)], "src string, dst string")
+    starts = spark.createDataFrame([("a",), ("a",)], "node_id string")
+    assert {tuple(r) for r in G.reach(e, starts, 3).where("node_id is not null").collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert sorted(tuple(r) for r in G.shortest_path(e, "a", "c").collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    tables = [p for p in seen if "BroadcastHashJoin" not in p and "SortMergeJoin" not in p]
+    assert len([p for p in tables if "hashpartitioning" not in p]) >= 2
