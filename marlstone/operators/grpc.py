@@ -142,10 +142,27 @@ def _getters(c: Code, at: int):
                     yield "scope", k, c.word(i), None
 
 
+def _rules(c: Code, at: int):
+    """The rules that a token can begin; strings and most marks begin none."""
+    word, called = c.words[at], c.is_(at + 1, "(")
+    if word is None:
+        return (_getters,) if c.plain[at] == "(" else ()
+    rules = [_services] if word == "getService" else []
+    if called and c.is_(at - 1, "."):
+        rules.append(_calls)
+    if word in ("serviceName", "function"):
+        rules.append(_registry)
+    if word in ("static", "functionName"):
+        rules.append(_forwards)
+    if called or word in DECLARES:
+        rules.append(_getters)
+    return rules
+
+
 def _facts_of(text: str) -> list[tuple]:
     """(fact, line, place, blocks, name, value) of one file."""
     c = Code(text)
-    return [(fact, c.tokens[i].line, i, c.blocks(i), name, value) for at in range(len(c.tokens)) for rule in (_services, _calls, _registry, _forwards, _getters) for fact, i, name, value in rule(c, at)]
+    return [(fact, c.tokens[i].line, i, c.blocks(i), name, value) for at in range(len(c.tokens)) for rule in _rules(c, at) for fact, i, name, value in rule(c, at)]
 
 
 def client_facts(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from marlstone.operators import grpc
 from marlstone.plans.base import query, table
+from marlstone.session import dealt
 
 #: Repositories are nations. Suppliers hold the forwarders and getters, customers the calls.
 CALLER = """CASE c_custkey % 5
@@ -30,7 +31,8 @@ f AS (SELECT *, (SELECT min(node_id) FROM ends e WHERE e.service = calls.service
 SELECT k::VARCHAR AS file_path, line, convention, service, method, CASE WHEN service IS NOT NULL THEN CASE WHEN by_key IS NULL THEN 'not_found' ELSE 'unique' END WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_grpc' END AS kind, CASE WHEN service IS NOT NULL THEN by_key WHEN n = 1 THEN by_method END AS node_id FROM f""")
 def ext_grpc_client(spark, sf_dir):
     """Calls of all four conventions with the endpoints that they reach."""
-    callers = table(spark, sf_dir, "customer").selectExpr("CAST(c_nationkey AS STRING) AS repo_id", "CAST(c_custkey AS STRING) AS file_path", f"{CALLER} AS text")
-    holders = table(spark, sf_dir, "supplier").selectExpr("CAST(s_nationkey AS STRING) AS repo_id", "concat('s', s_suppkey) AS file_path", f"{HOLDER} AS text")
+    # rows are dealt out before they become texts, so that texts do not move and all tasks read some
+    callers = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").selectExpr("CAST(c_nationkey AS STRING) AS repo_id", "CAST(c_custkey AS STRING) AS file_path", f"{CALLER} AS text")
+    holders = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").selectExpr("CAST(s_nationkey AS STRING) AS repo_id", "concat('s', s_suppkey) AS file_path", f"{HOLDER} AS text")
     ends = table(spark, sf_dir, "supplier").selectExpr("concat('n', s_suppkey) AS node_id", "concat('grpc::S', s_nationkey, '.m', s_suppkey % 60) AS identity_key")
     return grpc.invokes(callers.unionByName(holders), ends).select("file_path", "line", "convention", "service", "method", "kind", "node_id")

@@ -108,3 +108,21 @@ def test_tokens():
     assert [c.blocks(i) for i, t in enumerate(c.tokens) if t.text in ("a", "b", "c", "d")] == [[0], [1, 0], [2, 1, 0], [0]]
     assert c.tokens[9].line == 2 and c.tokens[13].line == 3 and c.end(15) == 15
     assert not Code("").tokens
+
+
+def test_only_tokens_that_begin_a_rule_are_looked_at(monkeypatch):
+    asked = []
+    monkeypatch.setattr(Code, "is_", lambda self, at, *texts, whole=Code.is_: asked.append(at) or whole(self, at, *texts))
+    assert grpc._facts_of("a = 'b' + 1;\n" * 1000) == []
+    assert len(asked) <= 2 * 6000
+
+
+def test_files_are_dealt_over_all_tasks(spark, sf, monkeypatch):
+    """The table is one block of a file, and each row costs a pass of tokens."""
+    from marlstone.plans import registry
+
+    seen = []
+    monkeypatch.setattr(grpc, "invokes", lambda files, ends, whole=grpc.invokes: seen.append(files) or whole(files, ends))
+    registry.QUERIES["ext_grpc_client"](spark, sf)
+    parts = seen[0].select("repo_id").rdd.glom().map(len).collect()
+    assert len([n for n in parts if n]) >= 4
