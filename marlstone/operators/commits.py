@@ -38,21 +38,28 @@ def generations(commits: DataFrame, known: DataFrame | None = None) -> DataFrame
     done = known.select("repo_id", "sha", "generation") if known is not None else None
     open_ = all_ if done is None else all_.join(done, ["repo_id", "sha"], "left_anti")
     waits = edges if done is None else edges.join(done, ["repo_id", "sha"], "left_anti")
-    front = stored(open_.join(waits, ["repo_id", "sha"], "left_anti").withColumn("generation", F.lit(1).cast("long")), f"{folder}/first")
-    reached = front if done is None else done.unionByName(front)
-    # a commit is numbered when the last of its parents is: it counts down what it waits for
-    left = stored(waits.groupBy("repo_id", "sha").agg(F.count("*").alias("waits"), F.lit(0).cast("long").alias("most")), f"{folder}/0")
-    news = reached
-    while left.limit(1).count():
-        met = news.withColumnRenamed("sha", "parent").join(waits, ["repo_id", "parent"]).groupBy("repo_id", "sha").agg(F.count("*").alias("met"), F.max("generation").alias("of"))
+    # a commit is numbered when the last of its parents is: it counts down what it waits for, then tells its children. It holds them itself,
+    # so that a round moves what is told and the commits that still wait, and neither edges nor what is done
+    kids = waits.groupBy("repo_id", F.col("parent").alias("sha")).agg(F.collect_list(F.col("sha")).alias("kids"))  # the children of one commit
+    left = open_.join(waits.groupBy("repo_id", "sha").agg(F.count("*").alias("waits")), ["repo_id", "sha"], "left").join(kids, ["repo_id", "sha"], "left")
+    left = stored(left.select("repo_id", "sha", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0).cast("long").alias("most"), "kids"), f"{folder}/0")
+    numbered = (F.col("most") + 1).alias("generation")
+    news = left.where("waits = 0")
+    told = news.select("repo_id", F.explode("kids").alias("sha"), numbered)
+    if done is not None:
+        told = told.unionByName(done.select("repo_id", F.col("sha").alias("parent"), "generation").join(waits, ["repo_id", "parent"]).select("repo_id", "sha", "generation"))
+    reached = news.select("repo_id", "sha", numbered)
+    reached = reached if done is None else done.unionByName(reached)
+    while True:
+        met = told.groupBy("repo_id", "sha").agg(F.count("*").alias("met"), F.max("generation").alias("of"))
         k += 1
-        step = stored(left.join(met, ["repo_id", "sha"], "left").select("repo_id", "sha", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.greatest("most", F.coalesce("of", F.lit(0))).alias("most")), f"{folder}/{k}")
-        news = step.where("waits = 0").select("repo_id", "sha", (F.col("most") + 1).alias("generation"))
+        step = left.where("waits > 0").join(met, ["repo_id", "sha"], "left")
+        left = stored(step.select("repo_id", "sha", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.greatest("most", F.coalesce("of", F.lit(0))).alias("most"), "kids"), f"{folder}/{k}")
+        news = left.where("waits = 0")
         if not news.limit(1).count():
-            break
-        reached = reached.unionByName(news)
-        left = step.where("waits > 0")
-    return reached
+            return reached
+        told = news.select("repo_id", F.explode("kids").alias("sha"), numbered)
+        reached = reached.unionByName(news.select("repo_id", "sha", numbered))
 
 
 def merge_bases(commits: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -66,20 +73,32 @@ def merge_bases(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     heads = pairs.select("pair_id", "repo_id", F.col("head").alias("sha"), F.lit(LEFT).alias("flags")).unionByName(pairs.select("pair_id", "repo_id", F.col("base").alias("sha"), F.lit(RIGHT).alias("flags")))
     begun = heads.join(known, ["repo_id", "sha"])
     painted = stored(begun.groupBy("pair_id", "repo_id", "sha").agg(F.bit_or("flags").alias("flags"), F.max("generation").alias("generation"), F.lit(True).alias("new")), f"{folder}/0")
+    # pairs that have nothing left to go on leave the loop, and so do the ways of repositories without a pair in it
+    one_flag, parts, near, had = F.col("flags") < LEFT + RIGHT, [], ways, None
     while True:
-        deepest = painted.where(F.col("flags") < LEFT + RIGHT).groupBy("pair_id").agg(F.min("generation").alias("deepest"))
-        going = painted.where("new").join(deepest, "pair_id", "left").where((F.col("flags") < LEFT + RIGHT) | (F.col("generation") > F.col("deepest"))).select("pair_id", "repo_id", "sha", "flags")
-        step = stored(going.join(ways, ["repo_id", "sha"]).groupBy("pair_id", "repo_id", F.col("parent").alias("sha")).agg(F.bit_or("flags").alias("more"), F.max("parent_generation").alias("of")), f"{folder}/step-{k}")
-        if not step.limit(1).count():
+        of_pair = painted.groupBy("pair_id").agg(F.min(F.when(one_flag, F.col("generation"))).alias("deepest"), F.max(F.col("new") & one_flag).alias("single"), F.max(F.when(F.col("new") & ~one_flag, F.col("generation"))).alias("top"))
+        of_pair = of_pair.select("pair_id", "deepest", (F.col("single") | F.coalesce(F.col("top") > F.col("deepest"), F.lit(False))).alias("active"))
+        goes = F.col("new") & (one_flag | F.coalesce(F.col("generation") > F.col("deepest"), F.lit(False)))
+        told = stored(painted.join(of_pair, "pair_id").select("pair_id", "repo_id", "sha", "flags", "generation", "new", goes.alias("goes"), "active"), f"{folder}/told-{k}")
+        removed(commits.sparkSession, f"{folder}/{k}")
+        parts.append(told.where("not active").select("pair_id", "repo_id", "sha", "flags", "generation"))
+        going = told.where("goes").select("pair_id", "repo_id", "sha", "flags")
+        now = going.count()
+        if not now:
             break
+        if had is not None and 2 * now <= had:
+            near = stored(near.join(told.where("active").select("repo_id").distinct(), "repo_id", "left_semi"), f"{folder}/ways-{k}")
+        had = now if had is None or 2 * now <= had else had
+        step = going.join(near, ["repo_id", "sha"]).groupBy("pair_id", "repo_id", F.col("parent").alias("sha")).agg(F.bit_or("flags").alias("more"), F.max("parent_generation").alias("of"))
         # what did not go on yet stays new: a deeper commit with one flag may come later
-        still = going.select("pair_id", "repo_id", "sha", F.lit(True).alias("went"))
-        both = painted.join(still, ["pair_id", "repo_id", "sha"], "left").join(step, ["pair_id", "repo_id", "sha"], "full")
+        both = told.where("active").join(step, ["pair_id", "repo_id", "sha"], "full")
         flags = F.coalesce("flags", F.lit(0)).bitwiseOR(F.coalesce("more", F.lit(0)))
         gained = flags != F.coalesce("flags", F.lit(0))
         k += 1
-        painted = stored(both.select("pair_id", "repo_id", "sha", flags.alias("flags"), F.coalesce("generation", "of").alias("generation"), (gained | (F.coalesce("new", F.lit(False)) & F.col("went").isNull())).alias("new")), f"{folder}/{k}")
-        removed(commits.sparkSession, f"{folder}/{k - 1}")
+        painted = stored(both.select("pair_id", "repo_id", "sha", flags.alias("flags"), F.coalesce("generation", "of").alias("generation"), (gained | (F.coalesce("new", F.lit(False)) & ~F.coalesce("goes", F.lit(False)))).alias("new")), f"{folder}/{k}")
+    painted = parts[0]
+    for part in parts[1:]:
+        painted = painted.unionByName(part)
     common = painted.where(F.col("flags") == LEFT + RIGHT).where("generation is not null")
     inner = common.select("pair_id", "repo_id", "sha").join(ways, ["repo_id", "sha"]).select("pair_id", "repo_id", F.col("parent").alias("sha")).distinct()
     best = common.join(inner, ["pair_id", "repo_id", "sha"], "left_anti").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("generation")).alias("g"), "sha"))).alias("best"))

@@ -24,12 +24,15 @@ def _commits(spark, sf_dir):
     o = "SELECT o_custkey AS repo, o_orderkey AS sha, lag(o_orderkey, 1) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2, lag(o_orderkey, 3) OVER w AS p3 FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"
     rows = spark.sql(o, orders=table(spark, sf_dir, "orders"))
     commits = rows.selectExpr("repo AS repo_id", "CAST(sha AS STRING) AS sha", "transform(array_compact(array(CASE WHEN sha % 5 = 0 THEN p2 ELSE p1 END, CASE WHEN sha % 4 = 0 THEN p3 END)), x -> CAST(x AS STRING)) AS parents")
-    return stored(commits.join(C.generations(commits), ["repo_id", "sha"]), new_folder(spark, "commits"))
+    folder = new_folder(spark, "commits")
+    commits = stored(commits, f"{folder}/read")
+    return stored(commits.join(C.generations(commits), ["repo_id", "sha"]), f"{folder}/numbered")
 
 
 def _pairs(spark, sf_dir):
     last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("repo_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("os"))
-    return last.select(F.col("repo_id").alias("pair_id"), "repo_id", F.try_element_at("os", F.lit(-1)).cast("string").alias("head"), F.try_element_at("os", F.lit(-2)).cast("string").alias("base"))
+    pairs = last.select(F.col("repo_id").alias("pair_id"), "repo_id", F.try_element_at("os", F.lit(-1)).cast("string").alias("head"), F.try_element_at("os", F.lit(-2)).cast("string").alias("base"))
+    return stored(pairs, new_folder(spark, "pairs"))
 
 
 @query(f"""

@@ -94,3 +94,24 @@ def test_bases_to_build(spark):
 def test_empty(spark, rows):
     pairs = spark.createDataFrame([], PAIR)
     assert C.merge_bases(numbered(spark, rows), pairs).count() == 0
+
+
+def test_rounds_move_what_still_goes_on(spark, monkeypatch):
+    """Pairs that are done leave the loop, and a round of generations reads no edges."""
+    rows, reads = {}, {}
+
+    def stored(df, at, whole=C.stored):
+        reads[at] = df.inputFiles()
+        out = whole(df, at)
+        rows[at] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "stored", stored)
+    chain = lambda repo, n: [(repo, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    commits = numbered(spark, [x for k in range(40) for x in chain(f"r{k}", 3)] + chain("long", 10))
+    pairs = spark.createDataFrame([(k, f"r{k}", "c2", "c1") for k in range(40)] + [(99, "long", "c9", "c0")], PAIR)
+    got = {r.pair_id: (r.merge_base, r.ahead, r.behind) for r in C.merge_bases(commits, pairs).collect()}
+    assert got == {**{k: ("c1", 1, 0) for k in range(40)}, 99: ("c0", 9, 0)}
+    later = [at for at in rows if "/generations-" in at and at.rsplit("/", 1)[1] not in ("edges", "first", "0")]
+    assert later and not any(f.rsplit("/", 2)[1] == "edges" for at in later for f in reads[at])
+    assert sum(n for at, n in rows.items() if "/merge-bases-" in at and not at.endswith(("/known", "/ways"))) < 1100
