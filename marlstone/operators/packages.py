@@ -98,21 +98,30 @@ def closure(manifests: DataFrame, locks: DataFrame) -> Closure:
     titles = entries.groupBy("repo_id").agg(F.max("package").alias("package")).join(roots, "repo_id").select("repo_id", F.coalesce("package", "root").alias("title"))
     edges = direct.join(titles, "repo_id").select("repo_id", F.col("title").alias("from_name"), F.lit(None).cast("string").alias("from_version"), F.col("name").alias("to_name"), "specifier", "scope", "version", "source", F.lit(0).alias("depth"))
     front = tables.keep(edges.where("version is not null").select("repo_id", F.col("to_name").alias("from_name"), F.col("version").alias("from_version")).distinct())
-    seen, depth, missing = front, 0, []
-    while front.limit(1).count():
+    # a package goes through its children once, so a round needs those only that no round had yet, of repositories that still go on: these
+    # and what was reached there are written anew whenever the front has halved
+    key = ["repo_id", "from_name", "from_version"]
+    reached, past, rest, depth, had = front, None, children, 0, None
+    while n := front.count():
         depth += 1
-        step = tables.keep(front.join(children, ["repo_id", "from_name", "from_version"]).select("repo_id", "from_name", "from_version", "to_name", "specifier", "scope", "version", "source", F.lit(depth).alias("depth")))
-        missing.append(front.join(snapshots, ["repo_id", "from_name", "from_version"], "left_anti"))
+        if had is not None and 2 * n <= had:
+            alive = front.select("repo_id").distinct()
+            past = tables.keep(past.join(alive, "repo_id", "left_semi"))
+            rest = tables.keep(rest.join(alive, "repo_id", "left_semi").join(past, key, "left_anti"))
+        had = n if had is None or 2 * n <= had else had
+        step = tables.keep(front.join(rest, key).select("repo_id", "from_name", "from_version", "to_name", "specifier", "scope", "version", "source", F.lit(depth).alias("depth")))
         edges = edges.unionByName(step)
-        front = tables.keep(step.where("version is not null").select("repo_id", F.col("to_name").alias("from_name"), F.col("version").alias("from_version")).distinct().join(seen, ["repo_id", "from_name", "from_version"], "left_anti"))
-        seen = seen.unionByName(front)  # each part is a written table
+        past = front if past is None else past.unionByName(front)  # each part is a written table
+        front = tables.keep(step.where("version is not null").select("repo_id", F.col("to_name").alias("from_name"), F.col("version").alias("from_version")).distinct().join(past, key, "left_anti"))
+        reached = reached.unionByName(front)
+    missing = reached.join(snapshots, key, "left_anti")
     say = lambda df, *text: df.select("repo_id", F.concat(*text).alias("gap"))
     gaps = [
         say(entries.groupBy("repo_id").agg(F.max("name").alias("any"), F.max("package").alias("package")).where("any is null and package is null"), F.lit("package.json has no name and no dependencies")),
         say(entries.select("repo_id").distinct().join(locked, "repo_id", "left_anti"), F.lit(f"{LOCK} not found")),
         say(edges.where("depth = 0 and version is null").join(locked, "repo_id", "left_semi"), F.lit("No lockfile resolution for "), "to_name"),
         say(edges.where("depth > 0 and version is null"), F.lit("No lockfile resolution for "), "from_name", F.lit(" -> "), "to_name"),
-        *[say(m, F.lit("No lockfile snapshot for "), "from_name", F.lit("@"), "from_version") for m in missing],
+        say(missing, F.lit("No lockfile snapshot for "), "from_name", F.lit("@"), "from_version"),
     ]
     all_gaps = gaps[0]
     for g in gaps[1:]:

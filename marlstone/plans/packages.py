@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import packages as P
 from marlstone.plans.base import query, table
+from marlstone.session import new_folder, stored
 
 #: Order k is the package ok at version 1.(k % 4).0. Every third is asked for; each asks for the next of its customer, every fourth for the one after too.
 TEXTS = {
@@ -26,6 +27,7 @@ edges AS (SELECT repo, 'c' || repo AS from_name, 'o' || k AS to_name, CASE WHEN
 def _closure(spark, sf_dir):
     """Manifests and lock files; a group is a customer's orders."""
     os = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("os"))
+    os = stored(os, new_folder(spark, "orders"))
     repo = "CAST(repo AS STRING) AS repo_id"
     manifests = os.selectExpr(repo, f"{TEXTS['manifest']} AS text", "concat('root', repo) AS root")
     return P.closure(manifests, os.where("repo % 10 < 9").selectExpr(repo, f"concat({TEXTS['importers']}, {TEXTS['snapshots']}) AS text"))

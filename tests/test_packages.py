@@ -88,3 +88,31 @@ def test_gaps(found):
 def test_reports(found):
     assert of(found[1], "a", "package", "n_dependencies", "n_edges", "packages", "depth", "n_gaps", "complete") == [("auth", 4, 9, 6, 2, 3, False)]
     assert of(found[1], "n", "package", "n_dependencies", "n_edges", "complete") == [(None, 0, 0, False)]
+
+
+def test_rounds_read_what_still_goes_on(spark, monkeypatch):
+    """Repositories that are done leave the rounds: late ones do not read all that depends on anything."""
+    folder = lambda f: f.rsplit("/", 1)[0]
+    children, rounds = set(), []
+
+    def keep(self, df, whole=P.Rounds.keep):
+        reads = {folder(f) for f in df.inputFiles()}
+        out = whole(self, df)
+        if "depth" in df.columns:
+            rounds.append(bool(reads & children))
+        elif not children and {"to_name", "source"} <= set(df.columns):
+            children.update(folder(f) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(P.Rounds, "keep", keep)
+
+    def lock(n):
+        chain = "".join(f"  p{i}@1.0.0:\n    dependencies:\n      p{i + 1}: 1.0.0\n" for i in range(n))
+        return f"importers:\n  .:\n    dependencies:\n      p0:\n        specifier: ^1\n        version: 1.0.0\nsnapshots:\n{chain}  p{n}@1.0.0:\n"
+
+    deep = {f"r{k}": 1 for k in range(4)} | {"long": 4}
+    manifests = spark.createDataFrame([(r, '{"name": "x", "dependencies": {"p0": "^1"}}', r) for r in deep], "repo_id string, text string, root string")
+    locks = spark.createDataFrame([(r, lock(n)) for r, n in deep.items()], "repo_id string, text string")
+    found = P.closure(manifests, locks)
+    assert sorted((r.repo_id, r.to_name, r.depth) for r in found.edges.collect()) == sorted((r, f"p{i}", i) for r, n in deep.items() for i in range(n + 1))
+    assert not found.gaps.count() and rounds[0] and not rounds[-1]
