@@ -7,11 +7,13 @@ are joined on those keys, each pair is verified by its Hamming distance, and the
 The pipeline's stage (`keep_one_similar`) removes texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
 more. At 0.8 two 64-bit fingerprints differ in some 10 bits, which no choice of blocks finds at a bearable number of keys,
 so there the blocks' pairs are joined by others, of texts that share one of BANDS keys of ROWS minimum hashes each. Every
-pair, of either kind, is verified on the whole sets. Texts first meet the least text of each key they have; then, as long
-as a key has texts of several classes, those outside its largest class meet all others of the key that are not in their
-own, at first a few of each class and then every one. So in the end any two texts that share a key are of one class or were
-compared, and a key whose texts are alike is never squared. A sketch of one byte a minimum hash lets a pair through if at
-least LIKE bytes agree; a pair at 0.8 fails that in less than one of a million cases.
+pair, of either kind, is verified on the whole sets. Texts first meet the least text of each key they have; then, where a
+key has texts of several classes, those outside its largest class meet all others of the key that are not in their own. So
+any two texts that share a key are of one class or were compared. In keys of at most SMALL texts these meetings are rows of
+pairs; a sketch of one byte a minimum hash lets a pair through if at least LIKE bytes agree, which a pair at 0.8 fails in
+less than one of a million cases. Larger keys are cut into blocks of BLOCK hashes, and every two blocks that have to meet
+are one group of rows: its whole sets are compared inside the task, which gives a forest of links between classes and no
+row for a pair. Rows grow with a key's texts times its blocks; what a task holds does not grow.
 
 With 6 blocks and distance 3 a key holds 32 or so bits: chance pairs stay rare where single 16-bit blocks would pair
 a large part of the table with itself. Copies collapse to one fingerprint first, whatever their number.
@@ -40,10 +42,11 @@ SHINGLE, SEED, BLOCKS, DISTANCE = 3, 42, 6, 3
 #: Words of a shingle and least Jaccard similarity of near copies; keys of a text, and minimum hashes in each: a pair at
 #: 0.8 shares no key in (1 - 0.8^6)^24 = 0.07 % of cases.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
-#: Equal bytes of two sketches that a pair needs to be verified; texts of another class that one meets in a round of a few, and such rounds.
-LIKE, FEW, SOME_ROUNDS = 88, 16, 2
-#: Texts of a key that meet the others in one round; twice as many in each round after the first whole one.
-PIVOTS = 64
+#: Equal bytes of two sketches that a pair needs to be verified.
+LIKE = 88
+#: Texts of a key that meet as rows of pairs; hashes of a block of a larger key, where each text counts as EACH more, so that
+#: short ones are bounded too; columns that are multiplied at a time.
+SMALL, BLOCK, EACH, COLUMNS = 16, 1 << 16, 64, 4096
 #: Shingles whose bits are summed at a time.
 STEP = 65_536
 
@@ -151,7 +154,7 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, simhash, keys, sketch = [], [], [], []
+            whole, simhash, keys, sketch, size = [], [], [], [], []
             for t in batch.column(1):
                 parts = list(hash_parts(t.as_py(), shingle, SEED))
                 hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
@@ -160,14 +163,15 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
                 least = minimum_hashes(hashes)
                 keys.append(band_keys(least))
                 sketch.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                size.append(len(hashes))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(whole), signed(simhash), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["row", "fingerprint", "simhash", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(whole), signed(simhash), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(size, pa.int64())], names=["row", "fingerprint", "simhash", "keys", "sketch", "size"])
 
-    schema = source.select("row", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("simhash"), F.array(F.lit(0).cast("long")).alias("keys"), F.lit(b"").alias("sketch")).schema
+    schema = source.select("row", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("simhash"), F.array(F.lit(0).cast("long")).alias("keys"), F.lit(b"").alias("sketch"), F.lit(0).cast("long").alias("size")).schema
     marked = cut(source.mapInArrow(mark, schema))
-    sets = cut(marked.groupBy(F.col("fingerprint").alias("s")).agg(F.min("row").alias("lead"), F.min(F.col("row.doc_id").cast("long")).alias("first"), F.min("simhash").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    sets = cut(marked.groupBy(F.col("fingerprint").alias("s")).agg(F.min("row").alias("lead"), F.min(F.col("row.doc_id").cast("long")).alias("first"), F.min("simhash").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"), F.min("size").alias("size")))
     tables = Rounds(docs.sparkSession, "similar")
-    keyed = sets.select("s", F.posexplode("keys").alias("band", "key"))
+    keyed = sets.select("s", (F.col("size") + EACH).alias("size"), F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
     keyed = tables.keep(keyed.join(shared, ["band", "key"]))
     tried = tables.keep(_first_pairs(sets, keyed))
@@ -178,32 +182,16 @@ def similar_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
     sketches = tables.keep(sets.select("s", "sketch").join(paired, "s"))
     verify = lambda pairs: tables.keep(_verified(whole_sets, tables.keep(_alike(sketches, pairs)), similarity))
     of = components(verify(tried)).withColumnRenamed("node", "s")
-    used, most, round_ = None, PIVOTS, 0
-    while True:
-        named = tables.keep(keyed.select("band", "key", "s").join(of, "s", "left").select("band", "key", "s", F.coalesce("component", "s").alias("c")))
-        mixed = named.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-        inside = tables.keep(named.join(mixed, ["band", "key"]))
-        largest = inside.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("at")).select("band", "key", F.col("at.c").alias("largest"))
-        outside = inside.join(largest, ["band", "key"]).where("c <> largest")
-        outside = outside if used is None else outside.join(used, ["band", "key", "s"], "left_anti")
-        nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("s"))
-        pivots = tables.keep(outside.select("band", "key", "s", "c", nth.alias("nth")).where(F.col("nth") <= most).drop("nth"))
-        if not pivots.limit(1).count():
-            break
-        met = inside.select("band", "key", F.col("s").alias("t"), F.col("c").alias("d"))
-        whole = round_ >= SOME_ROUNDS
-        if not whole:
-            few = F.row_number().over(Window.partitionBy("band", "key", "d").orderBy(F.xxhash64("t", F.lit(round_))))
-            met = met.withColumn("nth", few).where(F.col("nth") <= FEW).drop("nth")
-        pairs = pivots.join(met, ["band", "key"]).where("c <> d").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-        pairs = tables.keep(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        if whole:
-            # these have met all that share the key, so they are done with it whatever classes come to be
-            done = pivots.select("band", "key", "s")
-            used, most = done if used is None else used.unionByName(done), 2 * most
-        of = _merged(paired, of, verify(pairs), tables)
-        round_ += 1
+    named = tables.keep(keyed.select("band", "key", "s", "size").join(of, "s", "left").select("band", "key", "s", "size", F.coalesce("component", "s").alias("c")))
+    # sums by class and then by key, so that no key's texts are gathered
+    by_class = named.groupBy("band", "key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_key = by_class.groupBy("band", "key").agg(F.count("*").alias("several"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "c", "size")).alias("at")).where("several > 1")
+    inside = tables.keep(named.join(by_key.select("band", "key", "n", "all", F.col("at.c").alias("largest"), F.col("at.size").alias("own")), ["band", "key"]))
+    few = inside.where(F.col("n") <= SMALL)
+    left, right = few.where("c <> largest").select("band", "key", "s", "c"), few.select("band", "key", F.col("s").alias("t"), F.col("c").alias("d"))
+    pairs = left.join(right, ["band", "key"]).where("c <> d").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    pairs = tables.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+    of = _merged(paired, of, verify(pairs).unionByName(tables.keep(_met_in_blocks(whole_sets, inside.where(F.col("n") > SMALL), similarity))), tables)
     members = sets.join(of, "s", "left").select("s", "first", F.coalesce("component", "s").alias("component"))
     least = members.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = members.join(least, "component").select("s", "component_id")
@@ -233,6 +221,72 @@ def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
+def _met_in_blocks(whole: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): classes that pairs with the similarity link within a key, as a forest of each group; of inside (band, key, s, c,
+    largest, and the hashes of `all` and of the largest class's `own`). Texts outside the largest class are in the first
+    blocks of their key, and these meet one another and all the rest."""
+    blocks = lambda hashes: F.ceil(hashes / BLOCK).cast("int")
+    one = F.col("all") <= BLOCK
+    first = F.when(one, 1).otherwise(F.greatest(blocks(F.col("all") - F.col("own")), F.lit(1)))
+    last = F.when(one, 0).otherwise(F.greatest(blocks(F.col("own")), F.lit(1)))
+    nth = lambda n: F.pmod(F.xxhash64("s"), n).cast("int")
+    own = F.when((F.col("c") == F.col("largest")) & (F.col("last") > 0), F.col("first") + nth(F.greatest("last", F.lit(1)))).otherwise(nth(F.col("first")))
+    at = inside.withColumns({"first": first, "last": last}).withColumn("block", own)
+    # an outer block meets all, a block of the largest class the outer ones only
+    others = F.sequence(F.lit(0), F.when(F.col("block") < F.col("first"), F.col("first") + F.col("last") - 1).otherwise(F.col("first") - 1))
+    cells = at.select("band", "key", "s", "c", "block", F.explode(others).alias("other"))
+    cells = cells.select("band", "key", "s", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("hashes")]
+        names, of = np.unique(rows.column("c").to_numpy(), return_inverse=True)
+        block, i, j = rows.column("block").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        x, y = (np.flatnonzero(block == k) for k in (i, j))
+        xs = [sets[k] for k in x]
+        p, q = np.nonzero(_near(xs, xs if i == j else [sets[k] for k in y], similarity))
+        linked = np.zeros((len(names), len(names)), bool)
+        linked[of[x[p]], of[y[q]]] = True
+        a, b = _forest(linked | linked.T)
+        return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
+
+    return cells.join(whole, "s").select("band", "key", "c", "block", "i", "j", "hashes").groupBy("band", "key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
+def _near(xs: list[np.ndarray], ys: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each set of xs (down) and each of ys (across) have the similarity; a set and itself need not."""
+    flat = lambda sets: (np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(h) for h in sets], np.int64))
+    (hx, nx), (hy, ny) = flat(xs), flat(ys)
+    values, times = np.unique(hx, return_counts=True)
+    common = values[times > 1] if xs is ys else np.intersect1d(values, hy)
+    both = np.zeros((len(xs), len(ys)))
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        both += _marks(hx, nx, part) @ _marks(hy, ny, part).T
+    return both >= similarity * (nx[:, None] + ny - both) - 1e-9
+
+
+def _marks(hashes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A row for each set, a column for each value: 1 where the set has it."""
+    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+    there = values[at] == hashes
+    marks = np.zeros((len(sizes), len(values)), np.float32)
+    marks[np.repeat(np.arange(len(sizes)), sizes)[there], at[there]] = 1
+    return marks
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) from the first member of each component to each of its others, of a symmetric matrix."""
+    free, a, b = np.ones(len(linked), bool), [], []
+    for k in range(len(linked)):
+        if free[k]:
+            free[k], now = False, np.array([k])
+            while len(now):
+                now = np.flatnonzero(linked[now].any(0) & free)
+                free[now] = False
+                a.append(np.full(len(now), k)), b.append(now)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+
+
 def _merged(sets: DataFrame, of: DataFrame, near: DataFrame, tables: Rounds) -> DataFrame:
     """(s, component) after more links: components of components."""
     known = tables.keep(sets.select("s").join(of, "s", "left").select("s", F.coalesce("component", "s").alias("component")))

@@ -146,6 +146,39 @@ def test_families_lose_no_link(table, seed, changes, length):
     assert len(set(want.values())) >= 8 and found == want
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 8_000])
+def test_no_row_for_a_pair_of_a_large_key(table, monkeypatch, block):
+    """A large family on both sides of the bound gives the classes of brute force, and no table of it has a row for each pair."""
+    rng, rows = np.random.default_rng(4), []
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, 150)]
+    for k in range(300):
+        ws = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+            ws[int(at)] = f"new{int(rng.integers(1 << 30))}"
+        rows.append((k, " ".join(ws), "en", "s", 0))
+    made = []
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash.Rounds, "keep", lambda self, df, keep=simhash.Rounds.keep: (made.append((out := keep(self, df)).count()), out)[1])
+    docs = table(rows).withColumn("tie", F.xxhash64("text"))
+    found = {r["row"]["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+    want = classes_by_force([(r[0], r[1]) for r in rows])
+    assert len(set(want.values())) > 20 and found == want
+    assert max(made) <= simhash.BANDS * len(rows)
+
+
+def test_blocks_compare_whole_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, int(n)).astype(np.uint64)) for n in rng.integers(1, 200, 60)] + [np.zeros(0, np.uint64)]
+    like = lambda x, y: len(set(x.tolist()) & set(y.tolist())) >= 0.8 * len(set(x.tolist()) | set(y.tolist())) - 1e-9
+    want = [[like(x, y) for y in sets[30:]] for x in sets[:30]]
+    assert simhash._near(sets[:30], sets[30:], 0.8).tolist() == want and any(map(any, want))
+    got = simhash._near(sets, sets, 0.8)
+    assert all(got[i, j] == like(sets[i], sets[j]) for i in range(61) for j in range(61) if i != j)
+    linked = np.zeros((6, 6), bool)
+    linked[[0, 2, 4, 2], [2, 5, 4, 0]] = True
+    assert [x.tolist() for x in simhash._forest(linked | linked.T)] == [[0, 0], [2, 5]]
+
+
 def test_one_of_near_copies_stays(table, odd, clashing, empty):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :]), "en", "s", 0) for i in range(5, 300, 20)] + [(900, " ".join(reversed(words)), "en", "s", 0)]
