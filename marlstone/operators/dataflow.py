@@ -2,8 +2,9 @@
 
 A file's lines become an array of statements (what is assigned, what an expression names, which call takes which
 names). A fold over that array carries the names that hold the value so far, so the whole trace of a file is one column
-expression: nothing is exploded and no Python runs. Across files a request is a small row that goes from file to file;
-traces of all call targets are worked out once before.
+expression: nothing is exploded and no Python runs. Patterns are tried only on lines that name a held name or take parameters. Across
+files a request is a small row that goes from file to file without its steps, and rows that have ended stay behind; each variable of a
+file that is asked for or may be reached is traced once before, and the steps are put together at the end.
 
 Defined cases: a null or empty text, a variable that is null or blank, or one that the text never names, gives no flow
 (found is false). Names are words of letters, digits, _ and $; a name counts wherever it stands as a whole word, in comments behind
@@ -37,30 +38,44 @@ def words(text: Column) -> Column:
 
 
 def statements(text: Column) -> Column:
-    """array<struct> of the lines that are neither empty nor comments, with what each pattern finds in them."""
+    """array<struct<line,text,names>> of the lines that are neither empty nor comments."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda raw, i: F.struct((i + 1).alias("line"), F.trim(raw, F.lit(" \t\r\f\x0b")).alias("text")))
+    told = F.filter(lines, lambda l: (l["text"] != "") & ~l["text"].startswith("//"))
+    return F.transform(told, lambda l: F.struct(l["line"].alias("line"), l["text"].alias("text"), words(l["text"]).alias("names")))
 
-    def one(raw: Column, i: Column) -> Column:
-        t = F.trim(raw, F.lit(" \t\r\f\x0b"))
+
+def parsed(statement: Column, then) -> Column:
+    """then(what each pattern finds in the statement), with each pattern tried once."""
+
+    def one(l: Column) -> Column:
+        t, value = l["text"], l["value"]
         part = lambda pattern, k, of=t: F.regexp_extract(of, pattern, k)
-        unpacked_from = part(UNPACKED, 3)
-        value = part(ASSIGNED, 2)
+        within = lambda there, found: F.when(there, found).otherwise("")
+        unpacks, calls = t.startswith("const") & t.contains("{"), lambda of: of.contains("(")
+        unpacked = lambda k: within(unpacks, part(UNPACKED, k))
+        member = lambda k: within(t.contains(":"), part(MEMBER, k))
         return F.struct(
-            (i + 1).alias("line"), t.alias("text"), words(t).alias("names"),
-            part(UNPACKED, 1).alias("unpacked"), F.coalesce(F.nullif(part(UNPACKED, 2), F.lit("")), part(UNPACKED, 1)).alias("unpacked_as"), words(unpacked_from).alias("unpacked_from"),
-            part(ASSIGNED, 1).alias("assigned"), value.alias("value"), words(value).alias("value_names"), part(CALL, 1, value).alias("value_call"), words(part(CALL, 2, value)).alias("value_call_names"),
-            part(PARAMETERS, 1).alias("parameters"), part(MEMBER, 1).alias("member"), part(MEMBER, 2).alias("member_of"),
+            l["line"].alias("line"), t.alias("text"), l["names"].alias("names"),
+            unpacked(1).alias("unpacked"), F.coalesce(F.nullif(unpacked(2), F.lit("")), unpacked(1)).alias("unpacked_as"), words(unpacked(3)).alias("unpacked_from"),
+            within(value != "", part(ASSIGNED, 1)).alias("assigned"), value.alias("value"), words(value).alias("value_names"), within(calls(value), part(CALL, 1, value)).alias("value_call"), words(within(calls(value), part(CALL, 2, value))).alias("value_call_names"),
+            within(t.contains("function"), part(PARAMETERS, 1)).alias("parameters"), member(1).alias("member"), member(2).alias("member_of"),
             F.when(t.rlike(GUARDS), "guard").when(t.rlike(RETURNS), "return").when(t.rlike(THROWS), "call").alias("leads"),
-            part(CALL, 1).alias("call"), words(part(CALL, 2)).alias("call_names"),
+            within(calls(t), part(CALL, 1)).alias("call"), words(within(calls(t), part(CALL, 2))).alias("call_names"),
         )
 
-    found = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one)
-    return F.filter(found, lambda s: (s["text"] != "") & ~s["text"].startswith("//"))
+    valued = F.array(F.struct(statement["line"].alias("line"), statement["text"].alias("text"), statement["names"].alias("names"), F.regexp_extract(statement["text"], ASSIGNED, 2).alias("value")))
+    return F.transform(F.transform(valued, one), then)[0]
 
 
 def _fold(path: Column, variable: Column):
     """One statement's effect on the state (held names, steps, gaps)."""
 
     def merge(state: Column, s: Column) -> Column:
+        # all that a rule looks for in a statement is among its names, but for parameters
+        idle = ~F.arrays_overlap(s["names"], state["held"]) & ~s["text"].contains("function")
+        return F.when(idle, state).otherwise(parsed(s, lambda found: ruled(state, found)))
+
+    def ruled(state: Column, s: Column) -> Column:
         holds = lambda names: F.arrays_overlap(names, state["held"])
         step = lambda kind, name, expression, status="verified": F.struct(F.lit(kind).alias("kind"), path.alias("file_path"), s["line"].cast("int").alias("line"), name.alias("name"), F.lit(status).alias("status"), F.trim(expression).alias("expression"))
         opaque = lambda callee: F.concat(F.lit("opaque call boundary at "), path, F.lit(":"), s["line"].cast("string"), F.lit(" ("), callee, F.lit(")"))
@@ -73,9 +88,8 @@ def _fold(path: Column, variable: Column):
             ).cast(STATE)
 
         takes = F.array_contains(F.transform(F.split(s["parameters"], ","), lambda p: F.trim(p)), variable)
-        entry = F.when(takes, F.array(step("assign", variable, s["parameters"]))).otherwise(F.array().cast(f"array<{STEP}>"))
         # a parameter list is noted and the statement goes on to the later rules
-        begun = F.struct(state["held"].alias("held"), F.concat(state["steps"], entry).alias("steps"), state["gaps"].alias("gaps")).cast(STATE)
+        begun = F.when((s["parameters"] != "") & takes, after([step("assign", variable, s["parameters"])])).otherwise(state)
         noted = lambda kind, name: F.struct(begun["held"].alias("held"), F.array_append(begun["steps"], step(kind, name, s["text"])).alias("steps"), begun["gaps"].alias("gaps")).cast(STATE)
         argument = step("argument", s["call"], s["text"], "candidate")
         return (
@@ -127,39 +141,46 @@ def flows_over_calls(files: DataFrame, requests: DataFrame, edges: DataFrame, mo
     bounds how many edges a request takes, and truncated tells of the cut.
     """
     nth = Window.partitionBy("from_file").orderBy("seq", "from_line", "to_file", "to_variable")
-    targets = data_flows(files, edges.select(F.struct("to_file", "to_variable").alias("request_id"), F.col("to_file").alias("file_path"), F.col("to_variable").alias("variable")).distinct(), most)
-    tables = Rounds(files.sparkSession, "flows")
-    ways = tables.keep(
-        edges.withColumn("turn", F.row_number().over(nth) - 1)
-        .join(targets.select("file_path", "variable", F.col("steps").alias("more"), F.col("gaps").alias("more_gaps")), (F.col("to_file") == F.col("file_path")) & (F.col("to_variable") == F.col("variable")), "left")
-        .select("from_file", "turn", "from_line", "to_file", "to_variable", "status", "more", "more_gaps")
-    )
-    now = tables.keep(data_flows(files, requests, most).select("request_id", "file_path", "variable", "steps", "gaps", F.col("file_path").alias("at"), F.array().cast("array<string>").alias("been"), F.col("found").alias("open"), F.lit(False).alias("cut")))
-    for hop in range(hops + 1):
-        going = now.where("open")
-        if not going.limit(1).count():
+    tables, pair = Rounds(files.sparkSession, "flows"), ["file_path", "variable"]
+    asked = tables.keep(requests.select("request_id", *pair).withColumn("id", F.monotonically_increasing_id()))
+    # a request takes `hops` edges at most, so it never comes to a later edge of a file
+    ways = tables.keep(edges.withColumn("turn", F.row_number().over(nth) - 1).where(F.col("turn") < hops).select("from_file", "turn", "from_line", "to_file", "to_variable", (F.col("status") == "verified").alias("verified")))
+    pairs = asked.select(*pair).unionByName(ways.where("verified").select(F.col("to_file").alias("file_path"), F.col("to_variable").alias("variable"))).distinct()
+    traces = tables.keep(data_flows(files, pairs.withColumn("request_id", F.lit(None).cast("string")), most).select(*pair, "steps", "gaps", "found"))
+    found = traces.where("found").select(*pair)
+    there = found.select(F.col("file_path").alias("to_file"), F.col("variable").alias("to_variable"), F.lit(True).alias("there"))
+    ways = tables.keep(ways.join(there, ["to_file", "to_variable"], "left").withColumn("goes", F.coalesce(F.col("verified") & F.col("there"), F.lit(False))).drop("there"))
+    now = tables.keep(asked.join(found, pair).select("id", F.col("file_path").alias("at"), F.array().cast("array<string>").alias("been")))
+    taken = None
+    for hop in range(hops):
+        if not now.limit(1).count():
             break
-        if hop == hops:
-            now = now.withColumn("cut", F.col("open"))
-            break
-        turn = F.size(F.filter("been", lambda b: b == F.col("at")))
-        met = now.withColumn("turn", turn).join(ways.withColumnRenamed("turn", "way"), F.col("open") & (F.col("at") == F.col("from_file")) & (F.col("turn") == F.col("way")), "left")
-        verified, there = F.coalesce(F.col("status") == "verified", F.lit(False)), F.size(F.coalesce("more", F.array().cast(f"array<{STEP}>"))) > 0
-        call = F.struct(F.lit("call").alias("kind"), F.col("from_file").alias("file_path"), F.col("from_line").cast("int").alias("line"), F.col("to_variable").alias("name"), F.lit("verified").alias("status"), F.concat(F.lit("verified call -> "), "to_file", F.lit(":"), "to_variable").alias("expression")).cast(STEP)
-        stays = lambda s: ~((s["file_path"] == F.col("from_file")) & (s["line"] == F.col("from_line")) & (s["status"] == "candidate"))
-        place = F.concat("from_file", F.lit(":"), F.col("from_line").cast("string"))
-        gap = F.when(F.col("from_file").isNull(), None).when(~verified, F.concat(F.lit("unverified inter-procedural edge at "), place)).when(~there, F.concat(F.lit("verified target source unavailable at "), "to_file"))
-        now = tables.keep(
-            met.select(
-                "request_id", "file_path", "variable",
-                F.when(verified & there, F.concat(F.filter("steps", stays), F.array(call), F.col("more"))).otherwise(F.col("steps")).alias("steps"),
-                F.when(gap.isNotNull(), F.array_append("gaps", gap)).otherwise(F.col("gaps")).alias("gaps"),
-                F.when(verified & there, F.col("to_file")).otherwise(F.col("at")).alias("at"), F.when(F.col("from_file").isNotNull(), F.array_append("been", F.col("at"))).otherwise(F.col("been")).alias("been"),
-                (verified & there).alias("open"), "cut",
-            )
-        )
-    done = now.select("request_id", "file_path", "variable", F.slice("steps", 1, most).alias("steps"), F.array_distinct("gaps").alias("gaps"), (F.col("cut") | (F.size("steps") > most)).alias("truncated"))
-    return _described(done)
+        here = now.withColumn("turn", F.size(F.filter("been", lambda b: b == F.col("at")))).withColumnRenamed("at", "from_file")
+        met = tables.keep(here.join(ways.where(F.col("turn") <= hop), ["from_file", "turn"]).withColumn("hop", F.lit(hop)).drop("turn"))
+        now = met.where("goes").select("id", F.col("to_file").alias("at"), F.array_append("been", F.col("from_file")).alias("been"))
+        taken = met.drop("been") if taken is None else taken.unionByName(met.drop("been"))
+    if taken is None:
+        return _described(asked.join(traces.drop("found"), pair, "left").select("request_id", *pair, *[F.coalesce(c, F.array()).alias(c) for c in ("steps", "gaps")], F.coalesce(F.size("steps") > 0, F.lit(False)).alias("truncated")))
+    more = traces.where("found").select(F.col("file_path").alias("to_file"), F.col("variable").alias("to_variable"), F.col("steps").alias("more"))
+    # a group holds the edges that one request has taken, `hops` at most
+    gone = taken.where("goes").join(more, ["to_file", "to_variable"]).unionByName(taken.where("not goes"), allowMissingColumns=True)
+    gone = gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("hop", "from_file", "from_line", "to_file", "to_variable", "verified", "goes", "more"))).alias("way"))
+    moved = asked.join(gone, "id", "left").join(traces.select(*pair, "steps", "gaps"), pair, "left")
+    none = F.struct(*[F.coalesce(F.col(c), F.array().cast(kind)).alias(c) for c, kind in (("steps", f"array<{STEP}>"), ("gaps", "array<string>"))])
+
+    def taking(state: Column, e: Column) -> Column:
+        call = F.struct(F.lit("call").alias("kind"), e["from_file"].alias("file_path"), e["from_line"].cast("int").alias("line"), e["to_variable"].alias("name"), F.lit("verified").alias("status"), F.concat(F.lit("verified call -> "), e["to_file"], F.lit(":"), e["to_variable"]).alias("expression")).cast(STEP)
+        stays = lambda s: ~((s["file_path"] == e["from_file"]) & (s["line"] == e["from_line"]) & (s["status"] == "candidate"))
+        gap = F.when(~F.coalesce(e["verified"], F.lit(False)), F.concat(F.lit("unverified inter-procedural edge at "), e["from_file"], F.lit(":"), e["from_line"].cast("string"))).otherwise(F.concat(F.lit("verified target source unavailable at "), e["to_file"]))
+        on = F.struct(F.concat(F.filter(state["steps"], stays), F.array(call), e["more"]).alias("steps"), state["gaps"].alias("gaps"))
+        end = F.struct(state["steps"].alias("steps"), F.when(gap.isNotNull(), F.array_append(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"))
+        kind = f"struct<steps:array<{STEP}>,gaps:array<string>>"
+        return F.when(e["goes"], on.cast(kind)).otherwise(end.cast(kind))
+
+    cut = F.coalesce((F.size("way") == hops) & F.element_at("way", -1)["goes"], F.lit(False))
+    ended = F.when(F.col("way").isNull(), none).otherwise(F.aggregate("way", none.cast(f"struct<steps:array<{STEP}>,gaps:array<string>>"), taking))
+    done = moved.select("request_id", *pair, ended.alias("end"), cut.alias("cut"))
+    return _described(done.select("request_id", *pair, F.slice("end.steps", 1, most).alias("steps"), F.array_distinct("end.gaps").alias("gaps"), (F.col("cut") | (F.size("end.steps") > most)).alias("truncated")))
 
 
 def mentions(files: DataFrame, requests: DataFrame) -> DataFrame:

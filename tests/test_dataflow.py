@@ -76,6 +76,21 @@ def test_cycles_end(spark, files):
     assert r.truncated and [s.kind for s in r.steps].count("call") == 1
 
 
+def test_requests_move_without_steps_and_ended_ones_stay(spark, files, monkeypatch):
+    """Tables of the rounds hold no steps but for the one of traces, and only requests that still go on."""
+    kept = []
+    monkeypatch.setattr(D.Rounds, "keep", lambda self, df, keep=D.Rounds.keep: (kept.append((df.columns, (out := keep(self, df)).count())), out)[1])
+    edges = spark.createDataFrame([(1, "a.ts", 2, "b.ts", "input", "verified"), (1, "b.ts", 2, "path.ts", "cpf", "verified"), (1, "path.ts", 1, "a.ts", "cpf", "candidate"), (1, "loop.ts", 2, "a.ts", "cpf", "candidate")], EDGE)
+    asked = [("a", "a.ts", "cpf")] + [(f"l{i}", "loop.ts", "x") for i in range(20)]
+    r = traced(D.flows_over_calls(files, ask(spark, *asked), edges))
+    assert [s.file_path for s in r["a"].steps if s.kind == "call" and s.expression.startswith("verified")] == ["a.ts", "b.ts"]
+    assert all("unverified inter-procedural edge at loop.ts:2" in r[f"l{i}"].gaps and r[f"l{i}"].found for i in range(20))
+    assert len([c for c, _ in kept if {"steps", "more"} & {*c}]) == 1
+    assert [n for c, n in kept if "been" in c] == [21, 21, 1, 1]
+    got = traced(D.flows_over_calls(files, ask(spark, ("a", "a.ts", "cpf"), ("z", "gone.ts", "x")), edges, hops=0))
+    assert got["a"].truncated and [s.line for s in got["a"].steps] == [1, 2, 2, 3] and not got["z"].truncated and not got["z"].found
+
+
 def test_mentions(spark, files):
     got = sorted((r.request_id, r.line, r.kind, r.expression) for r in D.mentions(files, ask(spark, ("a", "a.ts", "cpf"), ("r", "a.ts", "result"), ("k", "take.ts", "run"), ("d", "a.ts", "$x"))).collect())
     assert got == [("a", 1, "definition", "request.cpf;"), ("a", 2, "use", "const result = lookup(cpf);"), ("k", 1, "call", "function run(first, cpf) {"), ("r", 2, "definition", "lookup(cpf);"), ("r", 3, "return", "return result;")]
