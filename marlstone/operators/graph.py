@@ -130,8 +130,18 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
-def induced(edges: DataFrame, chosen: DataFrame, most: int, priority: Sequence[str]) -> DataFrame:
-    """Edges with both ends among the chosen nodes, by type priority, at most `most`."""
+def induced(edges: DataFrame, chosen: DataFrame, most: int | None, priority: Sequence[str], back: int = 5) -> DataFrame:
+    """(src, dst, edge_type): edges with both ends among the chosen nodes. Of more than `most`, the first so many by type priority and
+    ends; chosen nodes that have edges but none of these get their first `back` again, and edges so restored come once."""
     rank = F.coalesce(F.array_position(F.lit(list(priority)), F.col("edge_type")), F.lit(0))
-    inside = edges.join(chosen.select(F.col("node_id").alias("src")), "src", "left_semi").join(chosen.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    return inside.withColumn("priority", F.when(rank > 0, rank).otherwise(99).cast("long")).orderBy("priority", "src", "dst").limit(most).select("src", "dst", "edge_type")
+    inside = edges.join(chosen.select(F.col("node_id").alias("src")), "src", "left_semi").join(chosen.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type")
+    if most is None:
+        return inside
+    tables, order = Rounds(edges.sparkSession, "induced"), ["priority", "src", "dst", "edge_type"]
+    inside = tables.keep(inside.withColumn("priority", F.when(rank > 0, rank).otherwise(99).cast("long")))
+    first = tables.keep(inside.orderBy(*order).limit(most))
+    # the nodes met are two an edge of `most` at most; sent to the edges, they take out whatever a large node has before it moves
+    met = F.broadcast(first.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct())
+    alone = inside.select("*", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id")).join(met, "node_id", "left_anti")
+    restored = alone.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(*order))).where(F.col("r") <= back)
+    return first.select("src", "dst", "edge_type").unionAll(restored.select("src", "dst", "edge_type").distinct())

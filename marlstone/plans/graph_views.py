@@ -28,7 +28,7 @@ def graph_repo_view(spark, sf_dir):
     e = edges(spark, sf_dir)
     degree = e.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree"))
     top = degree.join(nodes(spark, sf_dir).where("repo_id = 'repo1'").select("node_id"), "node_id").orderBy(F.desc("degree"), "node_id").limit(40)
-    return G.induced(e, top, 1000, ["calls", "references", "defines"])
+    return G.induced(e, top, None, ["calls", "references", "defines"])
 
 
 @query(f"""WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT n AS node_id, count(*) AS degree FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges) GROUP BY n)
